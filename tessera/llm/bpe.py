@@ -21,6 +21,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -316,7 +317,7 @@ def decode(df: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -
 
 def _small(batch: pa.RecordBatch, at: int, goal: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``goal`` bytes of text each."""
-    size = pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
     group = np.cumsum(size) // goal
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
