@@ -263,8 +263,6 @@ def read_vocabulary(spark, path: str):
 
 
 def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
@@ -273,9 +271,10 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
 
     A null text has no tokens (an empty list), like an empty one.  Every row is
     encoded by itself, so ties, repeats and other columns do not matter; an
-    existing column named ``ids`` is an error.  With ``decoded``, the text that
-    the ids stand for is added too, in the same pass over the rows.
+    existing column named like an added one is replaced.  With ``decoded``, the
+    text that the ids stand for is added too, in the same pass over the rows.
     """
+    df = df.drop(*{ids, decoded} - {None})
     at = df.columns.index(text)
     schema = _extended(df, ids, T.ArrayType(T.IntegerType()))
     if decoded:
@@ -298,7 +297,8 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
 
 
 def decode(df: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text that ``ids`` stand for, special tokens included (null: empty)."""
+    """Add the text that ``ids`` stand for, special tokens included (null: empty; an existing column is replaced)."""
+    df = df.drop(text)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,7 @@ def near_duplicates(
     a null doc_id is linked with nothing, has a null component and is kept.
     Other columns of ``docs`` are ignored.
     """
+    docs = docs.select(doc_id, text)
     sigs = materialize(signatures(docs, doc_id, text, length, coordinates), "signatures")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(live.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")

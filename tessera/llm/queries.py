@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash
+from tessera.llm import anchors, bpe, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_minhash")
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_anchors")
+def op4_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.drop_repeats(_table(spark, sf_dir, "documents"))
