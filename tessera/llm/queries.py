@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import anchors, bpe, minhash
+from tessera.llm import anchors, bpe, langid, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_anchors")
 def op4_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.drop_repeats(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_langid")
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(*langid.training_rows(docs, ~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
