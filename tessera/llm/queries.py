@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import anchors, bpe, langid, minhash, rules
+from tessera.llm import anchors, bpe, langid, minhash, mixing, rules, shards, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,21 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = rules.labelled_sample(docs, _table(spark, sf_dir, "labels"))
     return rules.judge(docs, rules.learn(sample))
+
+
+@_query("op6_templates", templates.SQL)
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query("op8_shards", shards.SQL)
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_mixing", mixing.sql())
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("topic", mixing.topic(F.col("text")))
+    out = mixing.mix(docs, mixing.TARGETS)
+    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
