@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import anchors, bpe, langid, minhash, mixing, rules, shards, templates
+from tessera.llm import anchors, bpe, langid, minhash, mixing, rules, shards, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("topic", mixing.topic(F.col("text")))
     out = mixing.mix(docs, mixing.TARGETS)
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+@_query("op3_topk", topk.SQL)
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
