@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import anchors, bpe, langid, minhash, mixing, rules, shards, templates, topk
+from tessera.llm import anchors, bpe, langid, minhash, mixing, rules, shards, suffix, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_topk", topk.SQL)
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@_query("op5_suffix")
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(_table(spark, sf_dir, "documents"))
