@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame expressions only.
 
 Token weights of the cells (source x language x topic) are raked to each
-marginal in turn until they settle; a document's inclusion probability is its
-cell's raked weight over its tokens, scaled so that the largest is ``rate``.
+marginal in turn until they settle; a document's inclusion probability is
+``rate`` times its cell's raked weight over its tokens, and 1 at most: a cell
+that is asked for more tokens than it has stays whole.
 A category that the targets don't name falls under ``*``, so the number of
 cells is bounded by the product of the targets' sizes.
 """
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, targets: Targets, doc_id: str = "doc_id", text: str = "
 
     ``targets`` names existing columns (such as source, lang, topic) and the
     share of tokens that each of their values should have.  Rows without words
-    weigh nothing and get probability ``rate``; null categories fall under
+    weigh nothing and get probability 1; null categories fall under
     ``*``.  Repeated rows share their draw.  Existing columns of the added names
     are replaced.
     """
@@ -92,20 +93,19 @@ def mix(docs: DataFrame, targets: Targets, doc_id: str = "doc_id", text: str = "
     rows = docs.withColumns({"n_tokens": word_count(F.col(text)), **{f"__{c}": _category(F.col(c), targets[c]) for c in names}})
     cells = rows.groupBy(*cats).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     raked = rake(cells, cats, {f"__{c}": targets[c] for c in names}, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    top = raked.agg(F.max("ratio").alias("top"))
     # At most as many rows as there are combinations of named categories.
-    few = raked.crossJoin(F.broadcast(top)).select(*cats, F.round(F.col("ratio") / F.col("top") * rate, 9).alias("probability"))
+    few = raked.select(*cats, F.round(F.least(F.col("ratio") * rate, F.lit(1.0)), 9).alias("probability"))
     joined = rows.join(F.broadcast(few), cats, "left").drop(*cats)
-    probability = F.when(F.col("n_tokens") == 0, rate).otherwise(F.coalesce("probability", F.lit(0.0)))
+    probability = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))
     joined = joined.withColumn("probability", probability)
     return joined.withColumn("sampled", uniform(F.col(doc_id), seed) < F.col("probability"))
 
 
 #: The mixture of the registered query and of the pipeline.
 TARGETS: Targets = {
-    "source": {"src0": 0.25, REST: 0.75},
-    "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.12, REST: 0.01},
-    "topic": {"table": 0.04, "markup": 0.03, "figures": 0.13, REST: 0.80},
+    "source": {"src0": 0.20, REST: 0.80},
+    "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.09, REST: 0.01},
+    "topic": {"table": 0.03, "markup": 0.03, "figures": 0.12, REST: 0.82},
 }
 
 
@@ -144,7 +144,7 @@ ipf AS (
   FROM ipf, one WHERE k < {rounds * len(names)}),
 last AS (SELECT w FROM ipf WHERE k = {rounds * len(names)}),
 raked AS (SELECT {", ".join(f"cats[{i + 1}][i] AS {c}__" for i, c in enumerate(names))}, w[i] / tokens[i] AS ratio FROM one, last, (SELECT unnest(range(1, len(w) + 1)) AS i FROM last)),
-few AS (SELECT {order}, round(ratio / (SELECT max(ratio) FROM raked), 9) AS probability FROM raked),
+few AS (SELECT {order}, round(least(ratio, 1.0), 9) AS probability FROM raked),
 p AS (SELECT r.doc_id, r.topic, r.n_tokens, CASE WHEN n_tokens = 0 THEN 1.0 ELSE coalesce(few.probability, 0.0) END AS p FROM r LEFT JOIN few USING ({order}))
 SELECT doc_id, topic, n_tokens, round(p, 6) AS probability,
   (('0x' || substr(md5('{seed}:' || doc_id), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0) < p AS sampled FROM p
