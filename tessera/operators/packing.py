@@ -35,7 +35,7 @@ def pack(df: DataFrame, columns: Sequence[str], size: int, group: int = GROUP, i
     end = F.least((F.col("block") + 1) * size - F.col("_off"), F.col("_n"))
     parts = F.struct(F.col(idx).alias("i"), *[F.slice(c, (begin + 1).cast("int"), (end - begin).cast("int")).alias(c) for c in columns])
     blocks = cut.groupBy(F.col("_group").alias("group"), "block").agg(F.sort_array(F.collect_list(parts)).alias("p"))
-    return blocks.select("group", "block", *[F.flatten(F.transform("p", lambda x, c=c: x[c])).alias(c) for c in columns])
+    return blocks.select("group", "block", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in columns])
 
 
 def resolve_block_size(block: int | None, model_max: int, cap: int = 1024, truncate_to_model_max: bool = True) -> int:
