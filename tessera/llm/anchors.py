@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import U, row_of, texts, windows, words
+from tessera.llm.hashing import U, mix, row_of, texts, windows, words
 from tessera.llm.scratch import materialize, width
 
 WINDOW = 50
@@ -98,14 +98,28 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[n
         yield tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _by_document(doc: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: its places, as packed steps."""
-    order = np.lexsort((position, doc))
-    doc, position = doc[order], position[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(doc))
-    places = [position[a:b].astype("<u4").tobytes() for a, b in zip(first.tolist(), ends.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(places, pa.binary())], names=["id", "places"])
+def _to_documents(doc: np.ndarray, position: np.ndarray, ranges: int, payload: np.ndarray | None = None) -> pa.RecordBatch:
+    """Places packed by the range of their document, so that a task sends one row to a range however many documents it has found."""
+    payload = np.zeros(len(doc), np.uint32) if payload is None else payload
+    order = np.lexsort((payload, position, doc))
+    ids, slot = np.unique(doc[order], return_inverse=True)
+    return Places.pack(_range(mix(ids.view(U), 41), ranges)[slot], payload[order], slot, ids, position[order])
+
+
+def _by_document(found: DataFrame, ranges: int, counted: bool = False) -> DataFrame:
+    """One row for each document: ``id`` and its places, as packed positions or (position, count) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for count, doc, position in _unpacked(batches, np.uint32):
+            order = np.lexsort((position, doc))
+            doc, position, count = doc[order], position[order].astype("<u4"), count[order]
+            packed = np.stack([position, count], 1) if counted else position
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(doc))
+            places = [packed[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(places, pa.binary())], names=["id", "places"])
+
+    return _gathered(found, ranges).mapInArrow(run, "id long, places binary")
 
 
 def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -140,11 +154,11 @@ def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             source = np.zeros(len(tags), bool)
             source[block] = most[slot] > doc[block]
             found = later | source
-            yield _by_document(doc[found], position[found])
+            yield _to_documents(doc[found], position[found], ranges)
 
     source = docs.select("id", "body")
     spread = _gathered(source.mapInArrow(probes, Places.SCHEMA), ranges)
-    return spread.mapInArrow(meet, "id long, places binary")
+    return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
 
 
 def _near(places: bytes, size: int, window: int, n_words: int) -> np.ndarray:
@@ -179,14 +193,14 @@ def _window_places(found: DataFrame, window: int, ranges: int) -> DataFrame:
     return found.select("id", "body", "places").mapInArrow(run, Places.SCHEMA)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Windows that also start in a smaller document."""
     for tags, doc, position in _unpacked(batches, np.uint64):
         order = np.lexsort((doc, tags))
         tags, doc, position = tags[order], doc[order], position[order]
         head = np.concatenate([[True], tags[1:] != tags[:-1]])
         least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-        yield _by_document(doc[least < doc], position[least < doc])
+        yield _to_documents(doc[least < doc], position[least < doc], ranges)
 
 
 def _removed(places: bytes | None, window: int, n_words: int) -> np.ndarray:
@@ -200,10 +214,6 @@ def _removed(places: bytes | None, window: int, n_words: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def _joined(df: DataFrame) -> DataFrame:
-    return df.groupBy("id").agg(F.array_join(F.transform(F.collect_list("places"), F.hex), "").alias("h")).select("id", F.unhex("h").alias("places"))
-
-
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 [, kept].
 
@@ -220,9 +230,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     ranges = width(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     known = source.where("id is not null")
-    hits = _joined(block_hits(known, window))
-    found = materialize(known.join(hits, "id"), "found")
-    repeats = _joined(_gathered(_window_places(found, window, ranges), ranges).mapInArrow(_repeats, "id long, places binary"))
+    found = materialize(known.join(block_hits(known, window), "id"), "found")
+    again = _gathered(_window_places(found, window, ranges), ranges).mapInArrow(lambda b: _repeats(b, ranges), Places.SCHEMA)
+    repeats = _by_document(again, ranges)
     marked = source.join(repeats, "id", "left").select("id", "body", "places")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

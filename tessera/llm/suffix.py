@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import Places, _by_document, _gathered, _joined, _planes, _range, _unpacked
+from tessera.llm.anchors import Places, _by_document, _gathered, _planes, _range, _to_documents, _unpacked
 from tessera.llm.hashing import _BYTE_POWERS, _BYTES, U, mix, texts
 from tessera.llm.scratch import materialize, width
 
@@ -113,9 +113,10 @@ def repeated_places(docs: DataFrame, length: int, size: int) -> DataFrame:
         for tags, doc, position in _unpacked(batches, np.uint64):
             known, slot, times = np.unique(tags, return_inverse=True, return_counts=True)
             again = times[slot] > 1
-            yield _by_document(doc[again], position[again])
+            yield _to_documents(doc[again], position[again], ranges)
 
-    return _gathered(docs.select("id", "body").mapInArrow(post, Places.SCHEMA), ranges).mapInArrow(meet, "id long, places binary")
+    spread = _gathered(docs.select("id", "body").mapInArrow(post, Places.SCHEMA), ranges)
+    return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
 
 
 SNIPPETS = Places.SCHEMA + ", texts binary, sizes binary, keys binary, leads binary"
@@ -263,8 +264,8 @@ def _parts(leads: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, cuts)
 
 
-def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of removed windows: id, packed (start, count) pairs."""
+def _marks(batches: Iterator[pa.RecordBatch], length: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Runs of removed windows: their starts and lengths."""
     held: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -303,11 +304,7 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             out_start.append(position[occurrence] + run_begin - base[snippet])
             out_count.append(run_end - run_begin)
         doc, start, count = (np.concatenate(x) for x in (out_doc, out_start, out_count))
-        order = np.lexsort((start, doc))
-        doc, pairs = doc[order], np.stack([start[order], count[order]], 1).astype("<u4")
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(doc))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([pairs[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())], pa.binary())], names=["id", "places"])
+        yield _to_documents(doc, start, ranges, count.astype(np.uint32))
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
@@ -326,9 +323,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     ranges = width(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     known = source.where("id is not null")
-    places = _joined(repeated_places(known, length, gram))
-    found = materialize(known.join(places, "id"), "found")
-    marks = _joined(_gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(lambda b: _marks(b, length), "id long, places binary"))
+    found = materialize(known.join(repeated_places(known, length, gram), "id"), "found")
+    runs = _gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(lambda b: _marks(b, length, ranges), Places.SCHEMA)
+    marks = _by_document(runs, ranges, counted=True)
     marked = source.join(marks, "id", "left").select("id", "body", "places")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
