@@ -11,10 +11,14 @@ skipped and only looked at when the collisions of a candidate are counted.
 Candidates that reach ``matches`` are confirmed on their full shingle sets.
 
 Equal sets are one class and meet once.  A posting list of up to ``PAIRWISE``
-classes yields its pairs; a longer one is tied to its smallest member first,
-and only members that this leaves in different components are compared with
-each other, so groups of many copies cost a number of pairs in proportion to
-their size.
+classes yields its pairs; a longer one is tied to its smallest member first.
+Where that leaves members of a long list in different components, they are
+posted again by their full sets: of two sets over the threshold, each has all
+but a quarter of its shingles in the other, so the rarest quarter (and one) of
+the shingles must meet.  A set with more shingles of its own than that meets
+nothing, however common the passage that it shares; those that meet are paired
+across components only.  Groups of many copies thus cost a number of pairs in
+proportion to their size.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.anchors import Places, _gathered, _range, _to_documents, _unpacked
 from tessera.llm.components import components
 from tessera.llm.hashing import U, lists, mix, texts, windows, words
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, width
 
 WORDS = 5
 PERCENT = 75
@@ -104,19 +109,47 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return source.mapInArrow(run, "doc_id long, grams array<long>")
 
 
-def _confirmed(pairs: DataFrame, meta: DataFrame, docs: DataFrame, doc_id: str, text: str, length: int, percent: int, matches: int) -> DataFrame:
-    """Of candidate pairs (a, b), those with enough collisions and, on full sets, enough similarity."""
-    left = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    likely = pairs.distinct().join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = materialize(likely.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b", "na", "nb"), "candidates")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(docs.join(wanted, docs[doc_id] == wanted["id"], "left_semi"), doc_id, text, length)
-    sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
-    joined = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
+def _rare_first(df: DataFrame, ranges: int) -> DataFrame:
+    """``doc_id`` and those of its tokens that come up in another row, from rare to frequent.
+
+    ``df`` has a doc_id and a list of distinct tokens.  Tokens travel packed by
+    hash range, and only the common ones come back.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                size = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                tokens = part.column(1).flatten().to_numpy(zero_copy_only=False).view(U)
+                doc = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+                yield Places.pack(_range(mix(tokens, 51), ranges), tokens, doc, part.column(0).to_numpy(zero_copy_only=False), place)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, doc, _ in _unpacked(batches, np.uint64):
+            _, slot, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            often = times[slot]
+            yield _to_documents(doc[often > 1], often[often > 1], ranges, tokens[often > 1])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, doc, often in _unpacked(batches, np.uint64):
+            order = np.lexsort((tokens, often, doc))
+            tokens, doc = tokens[order], doc[order]
+            ids, first = np.unique(doc, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists(tokens.view(np.int64), np.append(first, len(doc)), pa.int64())], names=["doc_id", "shared"])
+
+    packed = _gathered(df.mapInArrow(post, Places.SCHEMA), ranges).mapInArrow(meet, Places.SCHEMA)
+    return _gathered(packed, ranges).mapInArrow(collect, "doc_id long, shared array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those with enough similarity of their full sets."""
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
     joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    return materialize(joined.select("a", "b", "na", "nb", both.alias("both")).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "confirmed")
+    both, na, nb = F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb")
+    near = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
+    return materialize(joined.where(near).select("a", "b"), "confirmed")
 
 
 def near_duplicates(
@@ -132,30 +165,30 @@ def near_duplicates(
     Other columns of ``docs`` are ignored.
     """
     docs = docs.select(doc_id, text)
+    ranges = width(docs.sparkSession)
     sigs = materialize(signatures(docs, doc_id, text, length, coordinates), "signatures")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(live.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     keys = ["print_a", "print_b", "n_shingles"]
+    classes = materialize(live.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     reps = live.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    tokens = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sig").alias("token"))
-    common = materialize(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"), "common")
-    shared = tokens.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("s"))
-    meta = materialize(shared.where(F.size("s") >= matches).select("doc_id", "n", F.col("s.token").alias("shared")), "shared")
-    postings = meta.select("doc_id", F.explode(F.slice("shared", 1, F.size("shared") - (matches - 1))).alias("token"))
+    shared = materialize(_rare_first(reps.select("doc_id", "sig"), ranges).where(F.size("shared") >= matches), "shared")
+    postings = shared.select("doc_id", F.explode(F.slice("shared", 1, F.size("shared") - (matches - 1))).alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("head")).where("members > 1")
-    heads = materialize(heads, "heads")
-    listed = materialize(postings.join(heads, "token"), "postings")
+    listed = materialize(postings.join(materialize(heads, "heads"), "token"), "postings")
     star = listed.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     short = listed.where((F.col("members") <= PAIRWISE) & (F.col("doc_id") != F.col("head"))).select("token", "doc_id")
     pairs = short.select("token", F.col("doc_id").alias("a")).join(short.select("token", F.col("doc_id").alias("b")), "token").where("a < b").select("a", "b")
-    confirm = lambda p: _confirmed(p, meta, docs, doc_id, text, length, percent, matches)
-    links = confirm(star.union(pairs))
-    groups = materialize(components(links), "groups")
-    rest = _apart(listed.where(F.col("members") > PAIRWISE), groups, meta, percent)
-    if not rest.isEmpty():
-        more = confirm(rest)
-        if not more.isEmpty():
-            groups = materialize(components(links.union(more)), "groups")
+    tokens = lambda name, column: shared.select(F.col("doc_id").alias(name), F.col("shared").alias(column))
+    likely = star.union(pairs).distinct().join(tokens("a", "sa"), "a").join(tokens("b", "sb"), "b")
+    likely = materialize(likely.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b"), "candidates")
+    # Full sets are made once, for what may be compared now or below.
+    some = likely.select(F.explode(F.array("a", "b")).alias("id")).union(listed.where(F.col("members") > PAIRWISE).select("doc_id")).distinct()
+    sets = materialize(shingle_sets(docs.join(some, docs[doc_id] == some["id"], "left_semi"), doc_id, text, length), "sets")
+    links = _similar(likely, sets, percent)
+    groups = components(links)
+    more = _similar(_across(listed.where(F.col("members") > PAIRWISE), groups, sets, percent, ranges), sets, percent)
+    if not more.isEmpty():
+        groups = components(links.union(more))
     merged = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component"))
     merged = materialize(merged, "merged")
     out = sigs.drop("sig").join(merged, keys, "left")
@@ -163,18 +196,21 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _apart(listed: DataFrame, groups: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one long posting list whose members the first links left in different components."""
-    labelled = listed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = labelled.join(meta.select("doc_id", "n"), "doc_id").select("token", "doc_id", "component", "n", "head")
-    counts = labelled.groupBy("token", "component").agg(F.count("*").alias("c"))
+def _across(listed: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """Pairs across components among members of long posting lists, by the rarest part of their full sets."""
+    labelled = listed.select("token", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    members = materialize(labelled.join(materialize(split, "split"), "token").select("doc_id", "component").distinct(), "members")
+    wanted = sets.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "grams")
+    common = _rare_first(wanted, ranges).join(sets.select("doc_id", F.size("grams").alias("n")).distinct(), "doc_id")
+    # Of n shingles, n - ceil(percent * n) + 1 rarest; those of its own come first and meet nothing.
+    prefix = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    rare = common.where(prefix > 0).select("doc_id", F.explode(F.slice("shared", F.lit(1), prefix)).alias("token"))
+    rare = materialize(rare.join(members, "doc_id"), "rare")
+    counts = rare.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    main = materialize(main.select("token", F.col("m.component").alias("main")), "main")
-    labelled = materialize(labelled.join(main, "token"), "apart")
-    odd = labelled.where("component <> main").select("token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), "head")
-    every = labelled.select("token", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("main"))
-    # A head has met every member already; two odd members meet once.
-    near = (F.col("cx") != F.col("cy")) & (F.col("y") != F.col("head")) & (F.col("x") != F.col("head")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    near = near & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    met = odd.join(every, "token").where(near)
-    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
+    rare = materialize(rare.join(materialize(main.select("token", F.col("m.component").alias("main")), "main"), "token"), "apart")
+    odd = rare.where("component <> main").select("token", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+    every = rare.select("token", F.col("doc_id").alias("y"), F.col("component").alias("cy"), "main")
+    met = odd.join(every, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
