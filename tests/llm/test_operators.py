@@ -311,7 +311,7 @@ def test_encoding_of_odd_strings(vocabulary):
     library, mine = Tokenizer.from_str(vocabulary), bpe.Encoder(bpe.Vocabulary(vocabulary))
     decoder = bpe.Decoder(mine.vocab)
     rng = random.Random(9)
-    pool = [chr(c) for c in range(0x180)] + list(" 　​ \u85\xa0́") + [" "] * 60 + ["'s", "'ll", "<|endoftext|>", "\n", "aaaa", "the "] * 8
+    pool = [chr(c) for c in range(0x180)] + list("\u2028\u3000\u200b\u1680\x85\xa0\u0301\u4e00") + [" "] * 60 + ["'s", "'ll", "<|endoftext|>", "\n", "aaaa", "the "] * 8
     for _ in range(3000):
         text = "".join(rng.choices(pool, k=rng.randint(0, 30)))
         ids = np.frombuffer(mine.encode(text), np.int32)
