@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, once
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +77,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         (F.length("body") - _without(F.col("body"), "!")).cast("long").alias("n_exclaims"),
         (F.length("body") - _without(F.col("body"), "0123456789")).cast("long").alias("n_digits"),
         (F.length("body") - _without(F.col("body"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_uppers"),
-        grams.alias("grams"),
+        once(grams).alias("grams"),
     )
     same = lambda x, y: y.isNotNull() & (x["h"] == y["h"]) & (x["g"] == y["g"])
 
@@ -92,7 +92,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         lambda s, i: F.struct((i + 3).alias("end"), (s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n")),
         lambda s: s["n"].cast("long"),
     )
-    three = two.withColumn("n_repeat_words", covered).drop("grams")
+    three = two.withColumn("n_repeat_words", once(covered)).drop("grams")
     per = lambda a, b, k=1000: F.when(F.col(b) > 0, F.floor(F.col(a) * k / F.col(b))).otherwise(0).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return three.withColumns(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def once(column: Column) -> Column:
+    """The same values, computed once a row: the optimiser copies nothing that depends on the task into filters or lambdas."""
+    return F.when(F.spark_partition_id() >= 0, column)
