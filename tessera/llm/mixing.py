@@ -40,7 +40,7 @@ def _share(column: Column, shares: Mapping[str, float]) -> Column:
 
 
 def rake(cells: DataFrame, names: list[str], targets: Targets, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with their raked weight: one row holds them all, and higher-order functions fit it.
+    """Cells with their raked weight in tokens (as many in all as there are): one row holds them all, and higher-order functions fit it.
 
     The targets of categories that no cell has are left out and the others take
     their place in proportion.
@@ -66,6 +66,9 @@ def rake(cells: DataFrame, names: list[str], targets: Targets, rounds: int = ROU
         return out
 
     one = one.withColumn("weights", F.aggregate(steps, F.col("weights"), step))
+    sum_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    scale = sum_of(F.transform("cells", lambda c: c["tokens"])) / F.nullif(sum_of(F.col("weights")), F.lit(0.0))
+    one = one.withColumn("scale", scale).withColumn("weights", F.transform("weights", lambda w: w * F.col("scale")))
     flat = one.select(F.explode(F.arrays_zip(F.col("cells").alias("c"), F.col("weights").alias("w"))).alias("x"))
     return flat.select(*[F.col(f"x.c.{c}").alias(c) for c in names], F.col("x.c.tokens").alias("tokens"), F.col("x.w").alias("weight"))
 
@@ -143,7 +146,7 @@ ipf AS (
     lambda j: CASE WHEN cats[k % {len(names)} + 1][j] = cats[k % {len(names)} + 1][i] THEN w[j] ELSE 0.0 END)))
   FROM ipf, one WHERE k < {rounds * len(names)}),
 last AS (SELECT w FROM ipf WHERE k = {rounds * len(names)}),
-raked AS (SELECT {", ".join(f"cats[{i + 1}][i] AS {c}__" for i, c in enumerate(names))}, w[i] / tokens[i] AS ratio FROM one, last, (SELECT unnest(range(1, len(w) + 1)) AS i FROM last)),
+raked AS (SELECT {", ".join(f"cats[{i + 1}][i] AS {c}__" for i, c in enumerate(names))}, w[i] * (list_sum(tokens) / list_sum(w)) / tokens[i] AS ratio FROM one, last, (SELECT unnest(range(1, len(w) + 1)) AS i FROM last)),
 few AS (SELECT {order}, round(least(ratio, 1.0), 9) AS probability FROM raked),
 p AS (SELECT r.doc_id, r.topic, r.n_tokens, CASE WHEN n_tokens = 0 THEN 1.0 ELSE coalesce(few.probability, 0.0) END AS p FROM r LEFT JOIN few USING ({order}))
 SELECT doc_id, topic, n_tokens, round(p, 6) AS probability,
