@@ -96,7 +96,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
     candidate; rows that share the query's own id are not.  With fewer than k
     candidates all are returned; invalid vectors take no part, and vectors of
     other lengths count as filled with zeros.  Repeated rows are candidates
-    each.  Other columns are ignored, and an empty table gives no rows.  Scores
+    each; as queries, equal rows are asked once.  Other columns are ignored, and an empty table gives no rows.  Scores
     must fit a long.
     """
     spark = df.sparkSession
@@ -107,7 +107,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
     ranged = rows.withColumn("n", place)
     packs = _packed(ranged, F.floor(F.col("id") / (pack * 64)) * (1 << 20) + F.floor((F.col("n") - 1) / pack))
     packs = materialize(packs.select(F.pmod(F.xxhash64("pack"), F.lit(slots)).alias("slot"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c"), F.col("terms").alias("c_terms")), "packs")
-    asked = rows.where(is_query).withColumn("n", F.row_number().over(Window.partitionBy(F.floor(F.col("id") / (pack * 1024))).orderBy("id")))
+    asked = rows.where(is_query).dropDuplicates(["id", "vec"]).withColumn("n", F.row_number().over(Window.partitionBy(F.floor(F.col("id") / (pack * 1024))).orderBy("id")))
     asked = materialize(_packed(asked, F.floor(F.col("id") / (pack * 1024)) * (1 << 20) + F.floor((F.col("n") - 1) / pack)), "queries")
     copies = asked.select("ids", "matrix", "terms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
 
