@@ -107,7 +107,8 @@ def repeated_places(docs: DataFrame, length: int, size: int) -> DataFrame:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 where, tags = minimisers(data, at, length, size)
                 doc = np.searchsorted(at, where, "right") - 1
-                yield Places.pack(_range(tags, ranges), tags, doc, ids, where - at[doc])
+                # Minimisers are small hashes, so they are mixed again before they are dealt out.
+                yield Places.pack(_range(mix(tags, 43), ranges), tags, doc, ids, where - at[doc])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tags, doc, position in _unpacked(batches, np.uint64):
@@ -148,7 +149,7 @@ def _snippets(found: DataFrame, length: int, size: int, ranges: int) -> DataFram
                 up, down = _BYTE_POWERS(len(data) + 1)
                 total = np.concatenate([[U(0)], np.cumsum(_BYTES[data] * up[:-1])])
                 keys = mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U), 33)
-                bucket = _range(lead, ranges)
+                bucket = _range(mix(lead, 43), ranges)
                 packed = Places.pack(bucket, keys, doc, ids, begin - at[doc])
                 raw = data.tobytes()
                 extra: list[list] = [[], [], [], []]
