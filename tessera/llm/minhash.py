@@ -17,7 +17,7 @@ posted again by their full sets: of two sets over the threshold, each has all
 but a quarter of its shingles in the other, so the rarest quarter (and one) of
 the shingles must meet.  A set with more shingles of its own than that meets
 nothing, however common the passage that it shares; those that meet are paired
-across components only.  Groups of many copies thus cost a number of pairs in
+across components only, if what is left of both from the meeting on can suffice.  Groups of many copies thus cost a number of pairs in
 proportion to their size.
 """
 
@@ -205,12 +205,17 @@ def _across(listed: DataFrame, groups: DataFrame, sets: DataFrame, percent: int,
     common = _rare_first(wanted, ranges).join(sets.select("doc_id", F.size("grams").alias("n")).distinct(), "doc_id")
     # Of n shingles, n - ceil(percent * n) + 1 rarest; those of its own come first and meet nothing.
     prefix = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rare = common.where(prefix > 0).select("doc_id", F.explode(F.slice("shared", F.lit(1), prefix)).alias("token"))
+    own = F.col("n") - F.size("shared")
+    rare = common.where(prefix > 0).select("doc_id", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("pos", "token"))
+    # What is left from this token on: if it is the first that two sets share, they share no more than that.
+    rare = rare.select("doc_id", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), "token")
     rare = materialize(rare.join(members, "doc_id"), "rare")
     counts = rare.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     rare = materialize(rare.join(materialize(main.select("token", F.col("m.component").alias("main")), "main"), "token"), "apart")
-    odd = rare.where("component <> main").select("token", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    every = rare.select("token", F.col("doc_id").alias("y"), F.col("component").alias("cy"), "main")
-    met = odd.join(every, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+    odd = rare.where("component <> main").select("token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    every = rare.select("token", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
+    most = F.least("lx", "ly")
+    near = 100 * most >= percent * (F.col("nx") + F.col("ny") - most)
+    met = odd.join(every, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & near)
     return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
