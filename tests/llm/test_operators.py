@@ -207,6 +207,18 @@ def test_templates(docs, rows):
     assert templates.drop_templates(docs.limit(0)).count() == 0
 
 
+def test_short_lines_have_templates(spark):
+    """One- and two-word lines that recur go like longer ones; blank lines stay."""
+    own = [f"{c}a {c}b {c}c {c}d" for c in "abcdefghijklmnop"]
+    data = [(i, f"{own[i]}\n\nPage 1{i}\n \t\nFooter\nof one" + (" seldom" if i % 4 == 0 else "")) for i in range(16)]
+    got = {r["doc_id"]: r for r in templates.drop_templates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == data[0][1] and got[0]["n_dropped"] == 0
+    assert got[1]["text"] == f"{own[1]}\n\n \t\nof one" and got[1]["n_dropped"] == 2
+    for i in range(2, 16):
+        seldom = "\nof one seldom" if i % 4 == 0 else ""
+        assert got[i]["text"] == f"{own[i]}\n\n \t{seldom}" and got[i]["n_dropped"] == (2 if seldom else 3)
+
+
 def test_shards(docs, rows, none):
     for limit in (300, 5000, 1 << 30):
         got = shards.assign(docs, limit=limit).collect()
