@@ -40,9 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares of sources, languages and topics."""
+    """A sample whose tokens have the target shares of sources, languages and topics; documents of scarce cells are repeated."""
     rows = docs.select(*COLUMNS).withColumn("topic", mixing.topic(F.col("text")))
-    return mixing.mix(rows, mixing.TARGETS).where("sampled").select(*COLUMNS)
+    drawn = mixing.mix(rows, mixing.TARGETS).where("sampled")
+    return drawn.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame expressions only.
 
 Token weights of the cells (source x language x topic) are raked to each
-marginal in turn until they settle; a document's inclusion probability is
-``rate`` times its cell's raked weight over its tokens, and 1 at most: a cell
-that is asked for more tokens than it has stays whole.
+marginal in turn until they settle; ``rate`` times a cell's raked weight over
+its tokens is how often each of its documents is expected.  A cell that is asked
+for more tokens than it has is repeated: the whole part of that number is copies
+that every document gets, the fraction is drawn, so the targets are met in
+expectation whatever the corpus has.
 A category that the targets don't name falls under ``*``, so the number of
 cells is bounded by the product of the targets' sizes.
 """
@@ -80,28 +82,31 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, targets: Targets, doc_id: str = "doc_id", text: str = "text", rate: float = 1.0, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
-    """All rows and columns of ``docs`` with ``n_tokens``, ``probability`` and ``sampled``.
+    """All rows and columns of ``docs`` with ``n_tokens``, ``probability``, ``sampled`` and ``copies``.
 
-    ``targets`` names existing columns (such as source, lang, topic) and the
+    The sample has each row ``copies`` times; ``probability`` is the chance that
+    this is at least once, and ``sampled`` says whether it is.  ``targets`` names existing columns (such as source, lang, topic) and the
     share of tokens that each of their values should have.  Rows without words
-    weigh nothing and get probability 1; null categories fall under
+    weigh nothing and get probability 1 and one copy; null categories fall under
     ``*``.  Repeated rows share their draw.  Existing columns of the added names
     are replaced.
     """
     if not targets or not 0 < rate <= 1:
         raise ValueError("targets must not be empty, and rate must be in (0, 1]")
     names = list(targets)
-    docs = docs.drop("n_tokens", "probability", "sampled")
+    docs = docs.drop("n_tokens", "probability", "sampled", "copies")
     cats = [f"__{c}" for c in names]
     rows = docs.withColumns({"n_tokens": word_count(F.col(text)), **{f"__{c}": _category(F.col(c), targets[c]) for c in names}})
     cells = rows.groupBy(*cats).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     raked = rake(cells, cats, {f"__{c}": targets[c] for c in names}, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
     # At most as many rows as there are combinations of named categories.
-    few = raked.select(*cats, F.round(F.least(F.col("ratio") * rate, F.lit(1.0)), 9).alias("probability"))
+    few = raked.select(*cats, F.round(F.col("ratio") * rate, 9).alias("__expected"))
     joined = rows.join(F.broadcast(few), cats, "left").drop(*cats)
-    probability = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))
-    joined = joined.withColumn("probability", probability)
-    return joined.withColumn("sampled", uniform(F.col(doc_id), seed) < F.col("probability"))
+    expected = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("__expected", F.lit(0.0)))
+    joined = joined.withColumn("__expected", expected).withColumn("probability", F.least("__expected", F.lit(1.0)))
+    drawn = uniform(F.col(doc_id), seed)
+    copies = F.floor("__expected") + (drawn < F.col("__expected") - F.floor("__expected")).cast("long")
+    return joined.withColumns({"sampled": drawn < F.col("probability"), "copies": copies}).drop("__expected")
 
 
 #: The mixture of the registered query and of the pipeline.

@@ -74,7 +74,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("topic", mixing.topic(F.col("text")))
     out = mixing.mix(docs, mixing.TARGETS)
-    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled", "copies")
 
 
 @_query("op3_topk", topk.SQL)

@@ -253,6 +253,32 @@ def test_mixing(spark, docs, none):
         mixing.mix(df, {})
 
 
+def test_mixing_meets_targets_above_supply(spark):
+    """At rate 1, a source with a tenth of the tokens reaches a target of half, by whole copies and a draw."""
+    df = spark.createDataFrame([(i, "w w w", "a" if i % 10 else "b") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.mix(df, {"source": {"a": 0.45, "b": 0.55}})
+    shares = {r["source"]: r for r in got.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.min("copies").alias("least")).collect()}
+    total = sum(r["t"] for r in shares.values())
+    assert abs(shares["b"]["t"] / total - 0.55) < 0.02 and shares["b"]["least"] == 5
+    assert abs(total / 12000 - 1) < 0.05
+    assert got.where("sampled <> (copies > 0) or probability > 1").count() == 0
+
+
+def test_mixing_agrees_with_sql_but_for_copies(spark):
+    same(queries.QUERIES["op1_mixing"](spark, SF).drop("copies"), connect(SF), queries.ORACLES["op1_mixing"])
+
+
+def test_mixture_stage_repeats_scarce_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = mixing.mix(docs.withColumn("topic", mixing.topic(F.col("text"))), mixing.TARGETS)
+    want = {r["doc_id"]: r["copies"] for r in mixed.where("copies > 0").collect()}
+    out = corpus_pipeline.mixture(spark, docs, SF)
+    assert out.columns == docs.columns and max(want.values()) > 1
+    assert dict(Counter(r["doc_id"] for r in out.collect())) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     data = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
