@@ -114,7 +114,7 @@ def multistage_shards(spark, d):
 @query("retrieval_contexts")
 def retrieval_contexts(spark, d):
     chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("chunk "), F.col("vec_id").cast("string"), F.lit("\n\n")).alias("text"))
-    return pipelines.retrieval_prompts(chunks, chunks.where("id < 8").select("id", "embedding"))
+    return pipelines.retrieval_prompts(chunks, chunks.where("id % 100 = 0").select("id", "embedding"))
 
 
 @query("tool_rows", f"WITH {SQL_CONV} SELECT conv_id AS _idx FROM valid WHERE rounds > 0")

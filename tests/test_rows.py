@@ -70,3 +70,32 @@ def test_exact_samples(spark):
     assert R.train_test_split(df).where("split = 'test'").count() == 21
     with pytest.raises(ValueError):
         R.mini_batches(df, 10)
+
+
+def _brute(rows, asked, k=4):
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for q, e in asked:
+        scored = sorted((-round(sum(a * b for a, b in zip(e, v)) / (norm(e) * norm(v)), 6), i) for i, v in rows)[:k]
+        yield from ((q, i, rank + 1, -c) for rank, (c, i) in enumerate(scored))
+
+
+def test_every_hundredth_vector_is_a_query(spark):
+    from tessera.plans import catalogue
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()]
+    asked = [r for r in rows if r[0] % 100 == 0]
+    got = sorted(map(tuple, catalogue.QUERIES["retrieval_top4"](spark, "/root/testdata/sf0.001").select("query_id", "id", "rank", "cosine").collect()))
+    want = sorted(_brute(rows, asked))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+    contexts = catalogue.QUERIES["retrieval_contexts"](spark, "/root/testdata/sf0.001").select("query_id").collect()
+    assert sorted(r[0] for r in contexts) == sorted(q for q, _ in asked)
+
+
+def test_queries_in_blocks(spark):
+    from tessera.operators import retrieval
+
+    chunks = spark.createDataFrame([(i, [float(i % 7), float(i % 5 - 2), 1.0]) for i in range(60)], "id long, embedding array<float>")
+    queries = chunks.where("id < 10")
+    whole, parts = (sorted(map(tuple, retrieval.top_similar(chunks, queries, block=b).collect())) for b in (4096, 3))
+    assert parts == whole and len(whole) == 40
