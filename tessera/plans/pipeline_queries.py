@@ -31,7 +31,7 @@ def _texts(spark: SparkSession, d: str) -> datasets.TypedDataset:
 
 @query("finetune_blocks", "SELECT doc_id AS _idx, md5(array_to_string(list_transform(string_split(rpad(substr(text, 1, 256), 256, chr(1)), ''), lambda c: ord(c)), ',')) AS ids FROM documents WHERE length(text) > 0 ORDER BY doc_id LIMIT 500")
 def finetune_blocks(spark, d):
-    return pipelines.finetune_rows(_texts(spark, d), block=256, limit=500, pad_id=1).select("_idx", digest(F.col("input_ids")).alias("ids"))
+    return pipelines.finetune_rows(_texts(spark, d), block=256, pad_id=1).select("_idx", digest(F.col("input_ids")).alias("ids"))
 
 
 @query("finetune_packed", "WITH g AS (SELECT doc_id // 1000 AS grp, string_agg(text, '' ORDER BY doc_id) AS t FROM documents GROUP BY 1) SELECT grp AS \"group\", (length(t) // 4096)::BIGINT AS blocks FROM g")

@@ -99,3 +99,11 @@ def test_queries_in_blocks(spark):
     queries = chunks.where("id < 10")
     whole, parts = (sorted(map(tuple, retrieval.top_similar(chunks, queries, block=b).collect())) for b in (4096, 3))
     assert parts == whole and len(whole) == 40
+
+
+def test_finetune_blocks_of_all_documents(spark):
+    from tessera.plans import catalogue
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > 0)
+    got = [r[0] for r in catalogue.QUERIES["finetune_blocks"](spark, "/root/testdata/sf0.01").select("_idx").collect()]
+    assert len(got) > 500 and sorted(got) == sorted(r[0] for r in docs.select("doc_id").collect())
