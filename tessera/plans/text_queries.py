@@ -206,7 +206,7 @@ SELECT item_id, '<image>' || chr(10) || regexp_replace(a || z, '^[\\s]+|[\\s]+$'
 )
 def image_tags(spark, d):
     t = F.col("text")
-    a, z = F.substring(t, 1, 20), F.substring(t, 21, 20)
+    a, z = F.substring(t, 1, 20), F.substring(t, F.lit(21), F.length(t))
     rows = table(spark, d, "benchmark").select("item_id", F.concat(a, F.lit("<image>"), z).alias("x"), F.concat(a, F.lit("<ImageHere>"), z, F.lit("<ImageHere>")).alias("y"))
     spots = text.image_positions(F.col("y"))
     listed = F.concat(F.lit("["), F.array_join(spots["positions"].cast("array<string>"), ", "), F.lit("]"))
@@ -222,7 +222,7 @@ SELECT item_id, md5(array_to_string(list_concat(list_concat(list_transform(strin
 )
 def image_token_splice(spark, d):
     t = F.col("text")
-    ids = tokens.splice_images(F.concat(F.substring(t, 1, 10), F.lit("<image>"), F.substring(t, 11, 10)), tokens.codepoints)
+    ids = tokens.splice_images(F.concat(F.substring(t, 1, 10), F.lit("<image>"), F.substring(t, F.lit(11), F.length(t))), tokens.codepoints)
     rows = table(spark, d, "benchmark").select("item_id", ids.alias("i"))
     return rows.select("item_id", digest(F.col("i")).alias("ids"), F.size(tokens.widen_images(F.col("i"), F.col("i"), 4)).alias("widened"))
 

@@ -50,3 +50,20 @@ def test_preference_row(spark, keep):
     assert row["prompt_input_ids"] == [*map(ord, prompt)]
     assert row["chosen_labels"] == [-100] * 4 + [ord("x"), ord("y"), 1]
     assert row["rejected_input_ids"] == [*map(ord, prompt + "z"), 1]
+
+
+def test_images_in_whole_texts(spark):
+    from hashlib import md5
+
+    from tessera.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert max(map(len, texts.values())) > 40
+    for r in catalogue.QUERIES["image_tags"](spark, sf).collect():
+        t = texts[r["item_id"]]
+        assert r["bare"] == t and r["tagged"] == f"<image>\n{t.strip()}" and r["positions"] == f"[{min(len(t), 20)}, {len(t)}]"
+    for r in catalogue.QUERIES["image_token_splice"](spark, sf).collect():
+        t = texts[r["item_id"]]
+        ids = [*map(ord, t[:10]), -200, *map(ord, t[10:])]
+        assert r["ids"] == md5(",".join(map(str, ids)).encode()).hexdigest() and r["widened"] == len(t) + 4
