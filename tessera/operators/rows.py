@@ -16,18 +16,55 @@ from pyspark.sql import types as T
 
 IDX = "_idx"
 
+#: Keys that are looked at for each range of ``ranged``.
+EDGE_SAMPLE = 50
+
+
+def ranged(df: DataFrame, *order: str | Column, name: str = "__part") -> DataFrame:
+    """A column with the number of the key range each row is in; ranges ascend with the keys.
+
+    The edges come from a sample of about ``EDGE_SAMPLE`` keys a shuffle
+    partition and are fixed before the plan is built, so every use of the column
+    agrees, however the rows are shuffled, coalesced or computed again.
+    """
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(key.alias("key"))
+    n = keyed.count() if parts > 1 else 0
+    if not n:
+        return df.withColumn(name, F.lit(0))
+    share = EDGE_SAMPLE * parts / n
+    few = (keyed if share >= 1 else keyed.sample(share, seed=1)).agg(F.sort_array(F.collect_list("key")).alias("s"))
+    marks = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int")))
+    edges = few.select(F.array_distinct(F.filter(marks, lambda x: x.isNotNull())).alias("__edges"))
+    one = spark.createDataFrame(edges.collect(), edges.schema)
+    start = F.struct(F.lit(0).alias("low"), F.size("__edges").alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get("__edges", middle) <= key
+        step = F.struct(F.when(above, middle + 1).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(middle).alias("high"))
+        return F.when(s["low"] < s["high"], step).otherwise(s)
+
+    turns = F.sequence(F.lit(0), F.lit(parts.bit_length()))
+    found = F.aggregate(turns, start, halve, lambda s: s["low"])
+    return df.crossJoin(F.broadcast(one)).withColumn(name, found).drop("__edges")  # one row
+
 
 def numbered(df: DataFrame, *order: str | Column, name: str = IDX) -> DataFrame:
-    """Dense row numbers in the given order, without gathering rows in one task.
+    """Dense row numbers in the given ascending order, without gathering rows in one task.
 
-    Rows are range-partitioned and numbered within each partition; the offsets
-    of the partitions come from one count for each of them.
+    Rows are numbered within key ranges; the offsets of the ranges come from one
+    count for each of them.  The order should be total, as rows of equal keys
+    share a range and may swap numbers.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    parts = ranged(df, *keys)
     ranked = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
-    counts = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
-    # One row for each partition.
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row for each range.
     offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     out = ranked.join(F.broadcast(offsets), "__part")
     return out.withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__part", "__rank", "__before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.rows import ranged
+
 
 def consecutive_groups(df: DataFrame, key: str, order: str) -> DataFrame:
     """A ``group`` number (from 0) for each run of equal keys in order.
@@ -12,9 +14,8 @@ def consecutive_groups(df: DataFrame, key: str, order: str) -> DataFrame:
     Order is over the whole table, so rows are numbered within ranges first and
     only one row a range is put in sequence.
     """
-    ranged = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
     inside = Window.partitionBy("__part").orderBy(order)
-    marked = ranged.withColumn("__prev", F.lag(key).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    marked = ranged(df, order).withColumn("__prev", F.lag(key).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
     new = F.when(F.col("__first"), 0).otherwise((~F.col("__prev").eqNullSafe(F.col(key))).cast("int"))
     counted = marked.withColumn("__runs", F.sum(new).over(inside))
     edges = counted.groupBy("__part").agg(F.min_by(key, order).alias("__a"), F.max_by(key, order).alias("__b"), F.max("__runs").alias("__n"))

@@ -107,3 +107,48 @@ def test_finetune_blocks_of_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > 0)
     got = [r[0] for r in catalogue.QUERIES["finetune_blocks"](spark, "/root/testdata/sf0.01").select("_idx").collect()]
     assert len(got) > 500 and sorted(got) == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
+@pytest.fixture
+def eight(spark):
+    """Default adaptive settings, eight shuffle partitions and small advisory sizes, so that wide and narrow plans are coalesced differently."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_numbers_lose_no_rows(eight):
+    """Wide rows in many partitions keep their number and payload."""
+    n = 60_000
+    df = eight.range(n).select((F.col("id") * 7919 % n).alias("_idx"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("payload"))
+    out = R.numbered(df, "_idx", name="k")
+    assert out.where("k <> _idx").count() == 0 and out.agg(F.count_distinct("payload"), F.count("*")).first() == (n, n)
+    split = dict(R.train_test_split(df).groupBy("split").count().collect())
+    assert split == {"train": n - n // 5, "test": n // 5}
+    assert {r["count"] for r in R.strided_shards(df, 4).groupBy("shard").count().collect()} == {n // 4}
+    assert dict(R.ordered_percent_split(df, 5).groupBy("split").count().collect()) == {"train": n * 95 // 100, "eval": n - n * 95 // 100}
+    assert R.iteration_slice(df, 2, 1000).agg(F.count_distinct("payload")).first()[0] == 1000
+    assert {r["count"] for r in R.mini_batches(df, 6000, 2, seed=1).groupBy("epoch", "batch").count().collect()} == {6000}
+    text = R.numbered(df, "payload", "_idx", name="k").select("k", "payload")
+    assert [r["payload"] for r in text.where("k < 5").orderBy("k").collect()] == [r["payload"] for r in df.orderBy("payload").limit(5).collect()]
+
+
+def test_odd_orders_are_numbered(eight):
+    rows = [(None, 1), (None, 2), ("", 3), ("b", 4), ("b", 5), ("a", 6)]
+    df = eight.createDataFrame(rows, "x string, y long")
+    assert [r["y"] for r in R.numbered(df, "x", "y").orderBy("_idx").collect()] == [1, 2, 3, 6, 4, 5]
+    assert R.numbered(df.limit(0), "x").count() == 0
+    same = eight.range(5000).select(F.lit(1).alias("x"))
+    assert R.numbered(same, "x").agg(F.count_distinct("_idx"), F.max("_idx")).first() == (5000, 4999)
+
+
+def test_runs_lose_no_rows(eight):
+    from tessera.operators import samples
+
+    n = 40_000
+    df = eight.range(n).select(F.col("id").alias("o"), F.floor(F.col("id") / 37).cast("string").alias("key"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("payload")).repartition(8, "payload")
+    out = samples.consecutive_groups(df, "key", "o")
+    assert out.where("group <> floor(o / 37)").count() == 0 and out.agg(F.count_distinct("payload")).first()[0] == n
