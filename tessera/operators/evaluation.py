@@ -31,10 +31,27 @@ def window_nll(logprobs: Column, begin: Column, end: Column, scored_from: Column
     return -F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(part), F.lit(0))
 
 
+#: Most distinct tokens, and largest token, of a table that is sent to every task.
+TABLE_TOKENS, TABLE_IDS = 100_000, 1 << 21
+
+
 def unigram_logprobs(df: DataFrame, ids: str, idx: str) -> DataFrame:
-    """Add each token's log share of all tokens: a stand-in scorer. Tokens are counted before any shuffle."""
+    """Add each token's log share of all tokens: a stand-in scorer (null for a row without tokens).
+
+    Tokens are counted before any shuffle.  A vocabulary within ``TABLE_TOKENS``
+    and ``TABLE_IDS`` goes to every task as one array and lists are scored in
+    place; a larger one is joined.
+    """
     flat = df.select(idx, F.posexplode(ids).alias("pos", "token"))
-    counts = flat.groupBy("token").agg(F.count("*").alias("c"))
+    counts = df.select(F.explode(ids).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    few = counts.where("token is not null").limit(TABLE_TOKENS + 1).collect()
+    if few and len(few) <= TABLE_TOKENS and 0 <= min(r["token"] for r in few) and max(r["token"] for r in few) < TABLE_IDS:
+        table, total = [0] * (max(r["token"] for r in few) + 1), sum(r["c"] for r in few)
+        for r in few:
+            table[r["token"]] = r["c"]
+        one = df.sparkSession.createDataFrame([(table,)], "__counts array<long>")
+        scored = F.transform(ids, lambda t: F.ln(F.get("__counts", t) / F.lit(total)))
+        return df.crossJoin(F.broadcast(one)).withColumn("logprobs", F.when(F.size(ids) > 0, scored)).drop("__counts")  # one row
     total = counts.agg(F.sum("c").alias("t"))
     logs = counts.crossJoin(F.broadcast(total)).select("token", F.ln(F.col("c") / F.col("t")).alias("lp"))
     scored = flat.join(logs, "token").groupBy(idx).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("logprobs"))

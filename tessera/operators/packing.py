@@ -15,18 +15,14 @@ def pack(df: DataFrame, columns: Sequence[str], size: int, group: int = GROUP, i
 
     What is left at a group's end is dropped; with ``keep_short``, a group that
     does not fill one block keeps its only, short piece.  ``idx`` must be dense
-    row numbers.  Each row sends only the slices of the blocks that it touches,
-    so a block's task holds no more than one block.
+    row numbers.
     """
     if size <= 0 or group <= 0:
         raise ValueError("size and group must be positive")
     rows = df.withColumns({"_group": F.floor(F.col(idx) / group), "_n": F.size(columns[0])})
-    # Offsets need lengths only, not the lists.
-    lengths = rows.select(idx, "_group", "_n")
-    before = F.sum("_n").over(Window.partitionBy("_group").orderBy(idx)) - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy("_group"))
-    offsets = lengths.select(F.col(idx).alias("__i"), before.alias("_off"), total.alias("_tot"))
-    placed = rows.join(offsets, rows[idx] == offsets["__i"]).where("_n > 0")
+    # Offsets, pieces and blocks all stay where a group's rows were sent: one shuffle.
+    inside = Window.partitionBy("_group")
+    placed = rows.withColumns({"_off": F.sum("_n").over(inside.orderBy(idx)) - F.col("_n"), "_tot": F.sum("_n").over(inside)}).where("_n > 0")
     last = F.floor((F.col("_off") + F.col("_n") - 1) / size)
     cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("_off") / size), last)))
     whole = F.col("block") < F.floor(F.col("_tot") / size)

@@ -6,11 +6,12 @@ is by array functions on the row and shuffles nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.losses import length_penalised
 from tessera.functions.text import DISCARDED
+from tessera.operators.rows import numbered
 
 METHODS = ("random", "max_min", "max_max", "max_random")
 
@@ -106,8 +107,13 @@ def best_of(df: DataFrame, group: str, reward: str, order: str) -> DataFrame:
 
 
 def top_share(df: DataFrame, alpha: float, reward: str, order: str) -> DataFrame:
-    """The first ``int(n * alpha)`` rows by reward (ties: in order)."""
-    return df.orderBy(F.desc(reward), order).limit(int(df.count() * alpha))
+    """The first ``int(n * alpha)`` rows by reward (ties: in order; null rewards last).
+
+    Rows are cut by rank, as the share grows with the table.
+    """
+    worth = F.col(reward).cast("double")
+    rank = numbered(df, worth.isNull(), -F.nanvl(worth, F.lit(float("inf"))), order, name="__rank")
+    return rank.where(F.col("__rank") < int(df.count() * alpha)).drop("__rank")
 
 
 def best_then_top(df: DataFrame, group: str, reward: str, order: str, k: int) -> DataFrame:
@@ -121,9 +127,3 @@ def valid_candidates(df: DataFrame, width: int | None = None, prompt: str = "inp
     if width is not None:
         good = good & (F.size(candidates) == width)
     return df.where(F.coalesce(good, F.lit(False)))
-
-
-def ranked(reward: str, order: str, group: str | None = None) -> Column:
-    """Rank by reward within a group."""
-    spec = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    return F.row_number().over(spec.orderBy(F.desc(reward), order))

@@ -29,7 +29,7 @@ def _texts(spark: SparkSession, d: str) -> datasets.TypedDataset:
     return datasets.TypedDataset(table(spark, d, "documents").select(F.col("doc_id").alias("_idx"), "text"), "text_only")
 
 
-@query("finetune_blocks", "SELECT doc_id AS _idx, md5(array_to_string(list_transform(string_split(rpad(substr(text, 1, 256), 256, chr(1)), ''), lambda c: ord(c)), ',')) AS ids FROM documents WHERE length(text) > 0 ORDER BY doc_id LIMIT 500")
+@query("finetune_blocks", "SELECT doc_id AS _idx, md5(array_to_string(list_transform(string_split(rpad(substr(text, 1, 256), 256, chr(1)), ''), lambda c: ord(c)), ',')) AS ids FROM documents WHERE length(text) > 0")
 def finetune_blocks(spark, d):
     return pipelines.finetune_rows(_texts(spark, d), block=256, pad_id=1).select("_idx", digest(F.col("input_ids")).alias("ids"))
 

@@ -348,7 +348,7 @@ def benchmark_rollup(spark, d):
 @query(
     "retrieval_top4",
     """
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(e, embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
       / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS c FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id)::INT AS rank FROM s)

@@ -201,7 +201,7 @@ def prompt_structures(spark, d):
 @query(
     "image_tags",
     """
-WITH b AS (SELECT item_id, substr(text, 1, 20) AS a, substr(text, 21, 20) AS z FROM benchmark)
+WITH b AS (SELECT item_id, substr(text, 1, 20) AS a, substr(text, 21) AS z FROM benchmark)
 SELECT item_id, '<image>' || chr(10) || regexp_replace(a || z, '^[\\s]+|[\\s]+$', '', 'g') AS tagged, a || z AS bare, [length(a), length(a || z)]::VARCHAR AS positions FROM b""",
 )
 def image_tags(spark, d):
@@ -216,7 +216,7 @@ def image_tags(spark, d):
 @query(
     "image_token_splice",
     """
-WITH b AS (SELECT item_id, substr(text, 1, 10) AS a, substr(text, 11, 10) AS z FROM benchmark)
+WITH b AS (SELECT item_id, substr(text, 1, 10) AS a, substr(text, 11) AS z FROM benchmark)
 SELECT item_id, md5(array_to_string(list_concat(list_concat(list_transform(string_split(a, ''), lambda c: ord(c)), [-200]), list_transform(string_split(z, ''), lambda c: ord(c))), ',')) AS ids,
   (length(a) + length(z) + 4)::INT AS widened FROM b""",
 )
