@@ -12,6 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 GOAL_BYTES = 2 << 20
+#: Bytes that are hashed at a time, and powers that are kept: working memory for a text of any length.
+STEP_BYTES = 1 << 20
+KEPT_POWERS = 4 << 20
 U = np.uint64
 
 
@@ -27,7 +30,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown as needed; at most ``KEPT_POWERS`` stay."""
 
     def __init__(self, base: int) -> None:
         self.base = base | 1
@@ -36,9 +39,12 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.base, U)]))
-            self.down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.inverse, U)]))
+            size = max(n, min(2 * len(self.up), KEPT_POWERS))
+            up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.base, U)]))
+            down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.inverse, U)]))
+            if size > KEPT_POWERS:
+                return up, down
+            self.up, self.down = up, down
         return self.up[:n], self.down[:n]
 
 
@@ -82,9 +88,16 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.nda
     begin = np.flatnonzero(solid & (~before | edge[:-1]))
     after = np.concatenate([solid[1:], [False]]) if len(data) else solid
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    up, down = _BYTE_POWERS(len(data) + 1)
-    total = np.concatenate([[U(0)], np.cumsum(_BYTES[data] * up[:-1])])
-    hashed = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
+    hashed = np.zeros(len(begin), U)
+    cuts = np.flatnonzero(np.diff(begin // STEP_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(begin)]):
+        if b > a:
+            first = begin[a]
+            part = _BYTES[data[first : end[b - 1]]]
+            up, down = _BYTE_POWERS(len(part) + 1)
+            total = np.concatenate([[U(0)], np.cumsum(part * up[: len(part)])])
+            x, y = begin[a:b] - first, end[a:b] - first
+            hashed[a:b] = mix((total[y] - total[x]) * down[x] + (y - x).astype(U))
     return hashed, begin, end, np.searchsorted(begin, at)
 
 
