@@ -15,8 +15,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -30,9 +31,13 @@ from pyspark.sql import types as T
 # The published byte-level pre-token pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_ENTRIES = 400_000
-PAIR_ENTRIES = 500_000
+#: Bounds of a worker's memory, whatever it reads: about 200 bytes an entry, 100 a pair, one a mark.
+CACHE_ENTRIES = 200_000
+PAIR_ENTRIES = 100_000
+MARKS = 1 << 20
 CACHE_CHARS = 48
+#: Characters that are encoded at a time.
+STEP_CHARS = 1 << 20
 NEVER = 1 << 60
 
 
@@ -70,7 +75,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Text to ids. One per Python worker; caches are bounded."""
+    """Text to ids. One per Python worker; caches are bounded and forgotten after each task."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -82,7 +87,6 @@ class Encoder:
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.letter_of = {b: letter for b, letter in enumerate(self.letters)}
         # Tokens that their own text does not encode to can end no prefix.
         self.matches = ahocorasick.Automaton()
@@ -90,8 +94,9 @@ class Encoder:
             if self.stands_alone(i):
                 self.matches.add_word(word, (len(word), i))
         self.matches.make_automaton()
-        self.after_space = _Cache(self, " ")
-        self.plain = _Cache(self, "")
+        self.words = _Cache(self.fresh)
+        self.after_space = _Cache(lambda text: self.segment(" " + text), again=True)
+        self.plain = _Cache(self.segment, again=True)
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at one edge while ``token`` is built, each with the rank that ends it."""
@@ -161,18 +166,11 @@ class Encoder:
 
     def segment(self, text: str) -> bytes:
         """Ids (int32) of text that starts and ends at pre-token boundaries."""
-        words = self.words
-        ids: list[int] = []
-        for word in self.find(text):
-            got = words.get(word)
-            if got is None:
-                got = self.pretoken(word.encode().decode("latin-1").translate(self.letter_of))
-                if len(word) <= CACHE_CHARS:
-                    if len(words) >= CACHE_ENTRIES:
-                        words.clear()
-                    words[word] = got
-            ids += got
-        return array("i", ids).tobytes()
+        found = self.find(text)
+        return b"".join([self.words[w] for w in found])
+
+    def fresh(self, word: str) -> bytes:
+        return array("i", self.pretoken(word.encode().decode("latin-1").translate(self.letter_of))).tobytes()
 
     def piece(self, text: str) -> list[bytes]:
         if not text:
@@ -184,40 +182,70 @@ class Encoder:
         first, *rest = text.split(" ")
         return [self.plain[first] if first else b"", *map(self.after_space.__getitem__, rest)]
 
+    def steps(self, text: str) -> Iterator[str]:
+        """A long text in parts that are cut where a plain space follows anything but white space."""
+        at = 0
+        while len(text) - at > STEP_CHARS:
+            cut = self.segments.search(text, at + STEP_CHARS)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
+    def plain_text(self, text: str) -> list[bytes]:
+        return self.piece(text) if len(text) <= STEP_CHARS else [b"".join(self.piece(part)) for part in self.steps(text)]
+
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
-            return b"".join(self.piece(text))
+            return b"".join(self.plain_text(text))
         out: list[bytes] = []
         at = 0
         for m in self.special.finditer(text):
-            out += self.piece(text[at : m.start()])
+            out += self.plain_text(text[at : m.start()])
             out.append(array("i", [self.vocab.specials[m[0]]]).tobytes())
             at = m.end()
-        return b"".join(out + self.piece(text[at:]))
+        return b"".join(out + self.plain_text(text[at:]))
+
+    def forget(self) -> None:
+        """Back to the size of the vocabulary."""
+        self.pairs.clear()
+        for cache in (self.words, self.after_space, self.plain):
+            cache.forget()
 
 
 class _Cache(dict):
-    """Ids by text; a text is kept when it comes up for the second time."""
+    """Ids by text, the oldest going first; with ``again``, a text is kept when it comes up for the second time."""
 
-    def __init__(self, encoder: Encoder, lead: str) -> None:
+    def __init__(self, make: Callable[[str], bytes], again: bool = False) -> None:
         super().__init__()
-        self.encoder, self.lead = encoder, lead
-        self.seen: set[int] = set()
+        self.make, self.again = make, again
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.seen, self.marked = bytearray(MARKS), 0
 
     def __missing__(self, key: str) -> bytes:
-        got = self.encoder.segment(self.lead + key)
-        if len(key) <= CACHE_CHARS:
-            mark = hash(key)
-            if mark not in self.seen:
-                if len(self.seen) >= CACHE_ENTRIES:
-                    self.seen.clear()
-                self.seen.add(mark)
-            else:
-                if len(self) >= CACHE_ENTRIES:
-                    self.clear()
-                self[key] = got
+        got = self.make(key)
+        if len(key) <= CACHE_CHARS and (not self.again or self.known(key)):
+            if len(self) >= CACHE_ENTRIES:
+                for old in list(islice(self, CACHE_ENTRIES // 16)):
+                    del self[old]
+            self[key] = got
         return got
 
+    def known(self, key: str) -> bool:
+        """Whether the text has come up before (or one with its mark)."""
+        mark = hash(key) % MARKS
+        if self.seen[mark]:
+            return True
+        if self.marked >= MARKS // 2:
+            self.seen, self.marked = bytearray(MARKS), 0
+        self.seen[mark] = 1
+        self.marked += 1
+        return False
+
 
 class Decoder:
     """Ids to text; bytes that are no UTF-8 become replacement characters."""
@@ -282,6 +310,13 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(vocabulary)
+        try:
+            yield from encoded(batches, encoder, decoder)
+        finally:
+            encoder.forget()  # workers are used again, by other operators too
+            pa.default_memory_pool().release_unused()
+
+    def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, decoder: Decoder) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _small(whole, at):
                 got = [encoder.encode(t) if t else b"" for t in batch.column(at).to_pylist()]
@@ -315,7 +350,7 @@ def decode(df: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -
     return df.mapInArrow(run, _extended(df, text, T.StringType()))
 
 
-def _small(batch: pa.RecordBatch, at: int, goal: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, at: int, goal: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``goal`` bytes of text each."""
     size = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
     group = np.cumsum(size) // goal
