@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import texts
+from tessera.llm.scratch import lowest
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -28,6 +29,8 @@ EMBEDDING = 8
 MAX_ROWS = 3000
 WINDOWS_A_ROW = 4
 UNKNOWN = "und"
+#: Windows that are laid out at a time.
+STEP = 4096
 
 
 @dataclass
@@ -150,14 +153,14 @@ class Predictor:
 def training_rows(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, each: int = WINDOWS_A_ROW, window: int = WINDOW) -> tuple[list[bytes], list[str]]:
     """At most ``max_rows`` eligible labelled rows in hash order, with ``each`` windows spread over the text of each.
 
-    The sample is bounded by ``max_rows``, whatever the table's size.
+    The sample is bounded by ``max_rows`` ids, whatever the table's size; those
+    of a null or empty text give nothing, repeated rows all count.
     """
-    known = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.lit(5))
-    chosen = known.select(F.col(doc_id).alias("chosen")).orderBy(key, doc_id).limit(max_rows)
-    ids = [r[0] for r in chosen.collect()]
+    labelled = docs.where(eligible & F.col(lang).isNotNull())
+    ids = [r[0] for r in lowest(labelled.select(F.col(doc_id).alias("chosen")), "chosen", max_rows).collect()]
     if not ids:
         return [], []
+    known = labelled.where(F.col(text).isNotNull())
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "chosen long"))
     body = F.col(text).cast("binary")
@@ -195,12 +198,13 @@ def predict(df: DataFrame, net: Network | None, text: str = "text") -> DataFrame
                 first = np.concatenate([[0], np.cumsum(count)])
                 begin = at[:-1][row] + (np.arange(len(row)) - first[:-1][row]) * window
                 used = np.minimum(at[1:][row] - begin, window)
-                index = begin[:, None] + np.arange(window)[None, :]
-                x = np.zeros((len(row), window + extra), np.uint8)
-                if len(row):
-                    x[:, :window] = np.where(np.arange(window)[None, :] < used[:, None], data[np.minimum(index, len(data) - 1)], 0)
                 mean = np.zeros((len(size), len(net.langs)))
-                np.add.at(mean, row, predictor(x).astype(np.float64) * used[:, None])
+                for k in range(0, len(row), STEP):
+                    part = slice(k, k + STEP)
+                    index = begin[part, None] + np.arange(window)[None, :]
+                    x = np.zeros((len(index), window + extra), np.uint8)
+                    x[:, :window] = np.where(np.arange(window)[None, :] < used[part, None], data[np.minimum(index, len(data) - 1)], 0)
+                    np.add.at(mean, row[part], predictor(x).astype(np.float64) * used[part, None])
                 mean /= np.maximum(size, 1)[:, None]
                 best = mean.argmax(1)
                 letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize, once
+from tessera.llm.scratch import lowest, materialize, once
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -117,8 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """
     bad = F.col("quality") == 0 if target is None else target
     known = labels.select(F.col(doc_id).alias("labelled"), bad.alias("bad")).where("bad is not null and labelled is not null")
-    few = known.groupBy("labelled").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows)
-    few = materialize(few, "labels")
+    few = materialize(lowest(known.groupBy("labelled").agg(F.max("bad").alias("bad")), "labelled", max_rows), "labels")
     rows = docs.join(F.broadcast(few), F.col(doc_id) == F.col("labelled"), "left_semi")
     stats = statistics(rows, doc_id, text).join(F.broadcast(few), F.col("doc_id") == F.col("labelled"))
     return materialize(stats.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0).alias("prune"), *FEATURES), "sample")
