@@ -10,15 +10,17 @@ pairs share one among the first ``len - matches + 1``.  The frequent rest is
 skipped and only looked at when the collisions of a candidate are counted.
 Candidates that reach ``matches`` are confirmed on their full shingle sets.
 
-Equal sets are one class and meet once.  A posting list of up to ``PAIRWISE``
-classes yields its pairs; a longer one is tied to its smallest member first.
-Where that leaves members of a long list in different components, they are
-posted again by their full sets: of two sets over the threshold, each has all
-but a quarter of its shingles in the other, so the rarest quarter (and one) of
-the shingles must meet.  A set with more shingles of its own than that meets
-nothing, however common the passage that it shares; those that meet are paired
-across components only, if what is left of both from the meeting on can suffice.  Groups of many copies thus cost a number of pairs in
-proportion to their size.
+Equal sets are one class and meet once; a class has a number of its own, so a
+document id that comes with several texts is in several classes, which are tied.
+A posting list of up to ``PAIRWISE`` classes yields its pairs; a longer one is
+tied to its smallest member first.  Where that leaves members of a long list in
+different components, they are posted again by their full sets: of two sets over
+the threshold, each has all but a quarter of its shingles in the other, so the
+rarest quarter (and one) of the shingles must meet.  A set with more shingles of
+its own than that meets nothing, however common the passage that it shares;
+those that meet are paired across components only, if what is left of both from
+the meeting on can suffice.  Groups of many copies thus cost a number of pairs
+in proportion to their size.
 """
 
 from __future__ import annotations
@@ -59,6 +61,17 @@ def _shingles(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     return np.concatenate(out) if out else hashed[:0], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def _prints(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each row's set, which name its class."""
+    size = np.diff(rows)
+    full = np.flatnonzero(size)
+    out = np.zeros((2, len(size)), U)
+    if len(full):
+        for k in (0, 1):
+            out[k, full] = np.add.reduceat(mix(grams, 21 + k), rows[:-1][full])
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id``, set size, a 128-bit set fingerprint and the signature (empty without words)."""
     salts = mix(np.arange(coordinates, dtype=U), 3)
@@ -73,16 +86,13 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
                 full = np.flatnonzero(size)
                 begin = rows[:-1][full]
                 sig = np.zeros((len(full), coordinates), U)
-                prints = np.zeros((2, len(size)), U)
                 if len(full):
                     for k in range(coordinates):
                         low = np.minimum.reduceat(mix_light(grams, salts[k]), begin)
                         sig[:, k] = (low & keep) | U(k)
-                    prints[0, full] = np.add.reduceat(mix(grams, 21), begin)
-                    prints[1, full] = np.add.reduceat(mix(grams, 22), begin)
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, coordinates, 0))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(sig.reshape(-1).view(np.int64), ends, pa.int64())],
+                    [batch.column(0), pa.array(size), *map(pa.array, _prints(grams, rows)), lists(sig.reshape(-1).view(np.int64), ends, pa.int64())],
                     names=["doc_id", "n_shingles", "print_a", "print_b", "sig"],
                 )
 
@@ -97,16 +107,17 @@ def mix_light(x: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WORDS) -> DataFrame:
-    """``doc_id`` and the full set of distinct shingle hashes."""
+    """``doc_id``, the fingerprint and the full set of distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in texts(whole, 1):
                 grams, rows = _shingles(data, at, length)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(grams.view(np.int64), rows, pa.int64())], names=["doc_id", "grams"])
+                columns = [batch.column(0), pa.array(np.diff(rows)), *map(pa.array, _prints(grams, rows)), lists(grams.view(np.int64), rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print_a", "print_b", "grams"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, grams array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, grams array<long>")
 
 
 def _rare_first(df: DataFrame, ranges: int) -> DataFrame:
@@ -160,18 +171,24 @@ def near_duplicates(
     Documents are linked when 100 * intersection >= ``percent`` * union of their
     shingle sets; ``component_id`` is the smallest doc_id reachable over links.
     A null, empty or wordless text has an empty set and no links.  Repeated rows
-    get the same result each; rows that share a doc_id are one node.  A row with
-    a null doc_id is linked with nothing, has a null component and is kept.
-    Other columns of ``docs`` are ignored.
+    get the same result each; rows that share a doc_id are one node with the
+    links of all their texts.  A row with a null doc_id is linked with nothing,
+    has a null component and is kept.  Other columns of ``docs`` are ignored.
     """
     docs = docs.select(doc_id, text)
     ranges = width(docs.sparkSession)
     sigs = materialize(signatures(docs, doc_id, text, length, coordinates), "signatures")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     keys = ["print_a", "print_b", "n_shingles"]
-    classes = materialize(live.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = live.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    shared = materialize(_rare_first(reps.select("doc_id", "sig"), ranges).where(F.size("shared") >= matches), "shared")
+    classes = live.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    # Written at once, so the numbers stay what they are.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = materialize(live.select("doc_id", *keys).join(classes, keys).select("doc_id", "node"), "members")
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high").select("doc_id", "a")
+    ties = materialize(members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
+    one = live.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "sig")
+    shared = materialize(_rare_first(one.dropDuplicates(["doc_id"]), ranges).where(F.size("shared") >= matches), "shared")
+    # From here on, ``doc_id`` is the number of a class.
     postings = shared.select("doc_id", F.explode(F.slice("shared", 1, F.size("shared") - (matches - 1))).alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("head")).where("members > 1")
     listed = materialize(postings.join(materialize(heads, "heads"), "token"), "postings")
@@ -182,17 +199,23 @@ def near_duplicates(
     likely = star.union(pairs).distinct().join(tokens("a", "sa"), "a").join(tokens("b", "sb"), "b")
     likely = materialize(likely.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b"), "candidates")
     # Full sets are made once, for what may be compared now or below.
-    some = likely.select(F.explode(F.array("a", "b")).alias("id")).union(listed.where(F.col("members") > PAIRWISE).select("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.join(some, docs[doc_id] == some["id"], "left_semi"), doc_id, text, length), "sets")
+    some = likely.select(F.explode(F.array("a", "b")).alias("node")).union(listed.where(F.col("members") > PAIRWISE).select(F.col("doc_id").alias("node"))).distinct()
+    wanted = materialize(classes.join(some, "node").withColumnRenamed("rep", "doc_id"), "wanted")
+    texts_of = docs.join(wanted.select(F.col("doc_id").alias("id")).distinct(), docs[doc_id] == F.col("id"), "left_semi")
+    sets = shingle_sets(texts_of, doc_id, text, length).join(wanted, [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "grams")
+    sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
     links = _similar(likely, sets, percent)
-    groups = components(links)
+    groups = components(links.union(ties))
     more = _similar(_across(listed.where(F.col("members") > PAIRWISE), groups, sets, percent, ranges), sets, percent)
     if not more.isEmpty():
-        groups = components(links.union(more))
-    merged = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component"))
+        groups = components(links.union(ties).union(more))
+    named = materialize(groups.join(classes.select("node", "rep"), "node"), "named")
+    low = materialize(named.groupBy("component").agg(F.min("rep").alias("low")), "low")
+    merged = classes.join(named.join(low, "component").select("node", "low"), "node", "left").select(*keys, F.coalesce("low", "rep").alias("component"))
     merged = materialize(merged, "merged")
     out = sigs.drop("sig").join(merged, keys, "left")
-    component = F.coalesce("component", "doc_id")
+    # A row without an id shares a class with others at most by chance of its text.
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -201,8 +224,8 @@ def _across(listed: DataFrame, groups: DataFrame, sets: DataFrame, percent: int,
     labelled = listed.select("token", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     members = materialize(labelled.join(materialize(split, "split"), "token").select("doc_id", "component").distinct(), "members")
-    wanted = sets.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "grams")
-    common = _rare_first(wanted, ranges).join(sets.select("doc_id", F.size("grams").alias("n")).distinct(), "doc_id")
+    wanted = sets.join(members, "doc_id", "left_semi").select("doc_id", "grams")
+    common = _rare_first(wanted, ranges).join(sets.select("doc_id", F.size("grams").alias("n")), "doc_id")
     # Of n shingles, n - ceil(percent * n) + 1 rarest; those of its own come first and meet nothing.
     prefix = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     own = F.col("n") - F.size("shared")

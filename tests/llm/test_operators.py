@@ -100,6 +100,15 @@ def test_long_posting_lists(spark):
     assert [got[i] for i in range(len(group))] == group
 
 
+def test_one_id_with_several_texts_keeps_all_links(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (5, b), (7, b + " more"), (9, c), (3, a), (9, c), (2, "else " + c), (11, text()), (11, text())]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 7: 3, 9: 2, 2: 2, 11: 11}
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_components(spark, shape):
     rng = random.Random(1)
