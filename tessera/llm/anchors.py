@@ -10,7 +10,12 @@ a window goes when its hash also starts in a document with a smaller id.
 Overlapping windows join to the maximal repeat.
 
 The block hash only proposes places (32 bits within a range); windows are
-compared by 64 bits within a range that 16 other bits choose.
+compared by 64 bits within a range that 16 other bits choose.  A hit is not
+extended against one other document, as the windows around it may recur in any
+of those that hold the block.
+
+Rows are told apart by id and text: where an id comes with several texts, the
+number of the text stands in the high half of every position.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import U, mix, row_of, texts, windows, words
 from tessera.llm.scratch import materialize, width
 
 WINDOW = 50
+LOW = (1 << 32) - 1
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -62,7 +68,7 @@ class Places:
             rows[0].append(int(bucket[a]))
             rows[1].append(_planes(np.diff(ids[d[first]], prepend=0)))
             rows[2].append(_planes(np.diff(first, append=b - a).astype(np.uint32)))
-            rows[3].append(_planes(steps.astype(np.uint32)))
+            rows[3].append(_planes(steps.astype(np.uint64)))
             rows[4].append(tags[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=Places.NAMES)
 
@@ -71,9 +77,9 @@ class Places:
         """Tags, document ids and positions."""
         counts = _unplanes(row["counts"], "u4").astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        total = np.cumsum(_unplanes(row["steps"], "u4").astype(np.int64))
-        step0 = _unplanes(row["steps"], "u4").astype(np.int64)[first]
-        base = total[first] - step0
+        steps = _unplanes(row["steps"], "i8")
+        total = np.cumsum(steps)
+        base = total[first] - steps[first]
         return np.frombuffer(row["tags"], kind), np.repeat(np.cumsum(_unplanes(row["docs"], "i8")), counts), total - np.repeat(base, counts)
 
 
@@ -112,8 +118,8 @@ def _by_document(found: DataFrame, ranges: int, counted: bool = False) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for count, doc, position in _unpacked(batches, np.uint32):
             order = np.lexsort((position, doc))
-            doc, position, count = doc[order], position[order].astype("<u4"), count[order]
-            packed = np.stack([position, count], 1) if counted else position
+            doc, position, count = doc[order], position[order].astype("<i8"), count[order]
+            packed = np.stack([position, count.astype("<i8")], 1) if counted else position
             first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(doc))
             places = [packed[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
@@ -122,6 +128,26 @@ def _by_document(found: DataFrame, ranges: int, counted: bool = False) -> DataFr
     return _gathered(found, ranges).mapInArrow(run, "id long, places binary")
 
 
+def own_places(places: bytes | None, base: int, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (and counts) among a document's places that are in the text numbered by ``base``."""
+    pairs = np.frombuffer(places or b"", "<i8").reshape(-1, 2 if counted else 1)
+    mine = pairs[pairs[:, 0] >> 32 == base >> 32]
+    return mine[:, 0] & LOW, mine[:, -1]
+
+
+def sources(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id``, ``body`` and ``base``: the number of the text among those of its id, in the order of their hashes, times 2**32."""
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
+    each = source.where("id is not null").select("id", F.xxhash64("body").alias("h"))
+    several = each.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("id")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return source.withColumn("base", F.lit(0).cast("long"))
+    number = F.row_number().over(Window.partitionBy("id").orderBy("h")).cast("long") - 1
+    texts_of = materialize(each.join(several, "id").distinct().select("id", "h", F.shiftleft(number, 32).alias("base")), "variants")
+    return source.withColumn("h", F.xxhash64("body")).join(texts_of, ["id", "h"], "left").select("id", "body", F.coalesce("base", F.lit(0).cast("long")).alias("base"))
+
+
 def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Places (id, packed word positions) of blocks and probes that meet in two documents."""
     size, ranges = window // 2, width(docs.sparkSession)
@@ -135,11 +161,12 @@ def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 doc = row_of(rows)
                 position = np.arange(len(hashed)) - rows[doc]
                 inside = np.flatnonzero(position[: len(runs)] + size <= np.diff(rows)[doc[: len(runs)]])
-                yield Places.pack(_range(runs[inside], ranges), runs[inside].astype(np.uint32), doc[inside], ids, position[inside])
+                base = batch.column(2).to_numpy(zero_copy_only=False)
+                yield Places.pack(_range(runs[inside], ranges), runs[inside].astype(np.uint32), doc[inside], ids, position[inside] + base[doc[inside]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tags, doc, position in _unpacked(batches, np.uint32):
-            block = position % size == 0
+            block = (position & LOW) % size == 0
             known, slot = np.unique(tags[block], return_inverse=True)
             if not len(known):
                 continue
@@ -156,14 +183,13 @@ def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             found = later | source
             yield _to_documents(doc[found], position[found], ranges)
 
-    source = docs.select("id", "body")
+    source = docs.select("id", "body", "base")
     spread = _gathered(source.mapInArrow(probes, Places.SCHEMA), ranges)
     return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
 
 
-def _near(places: bytes, size: int, window: int, n_words: int) -> np.ndarray:
-    """Starts of the windows that hold a run at one of the places."""
-    hits = np.frombuffer(places, "<u4").astype(np.int64)
+def _near(hits: np.ndarray, size: int, window: int, n_words: int) -> np.ndarray:
+    """Starts of the windows that hold a run at one of the hits."""
     mark = np.zeros(n_words + 2, np.int64)
     np.add.at(mark, np.maximum(hits + size - window, 0), 1)
     np.add.at(mark, np.minimum(hits, n_words) + 1, -1)
@@ -183,14 +209,15 @@ def _window_places(found: DataFrame, window: int, ranges: int) -> DataFrame:
                     continue
                 grams, ranged = windows(hashed, window), windows(hashed, window, 1)
                 starts, doc = [], []
+                base = batch.column(3).to_numpy(zero_copy_only=False)
                 for k, (places, a, b) in enumerate(zip(batch.column(2).to_pylist(), rows[:-1].tolist(), rows[1:].tolist())):
-                    near = _near(places, size, window, b - a)
+                    near = _near(own_places(places, int(base[k]))[0], size, window, b - a)
                     starts.append(near + a)
                     doc.append(np.full(len(near), k))
                 start, doc = np.concatenate(starts), np.concatenate(doc)
-                yield Places.pack(_range(ranged[start], ranges), grams[start], doc, ids, start - rows[doc])
+                yield Places.pack(_range(ranged[start], ranges), grams[start], doc, ids, start - rows[doc] + base[doc])
 
-    return found.select("id", "body", "places").mapInArrow(run, Places.SCHEMA)
+    return found.select("id", "body", "places", "base").mapInArrow(run, Places.SCHEMA)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -203,14 +230,12 @@ def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
         yield _to_documents(doc[least < doc], position[least < doc], ranges)
 
 
-def _removed(places: bytes | None, window: int, n_words: int) -> np.ndarray:
-    """Which words the windows at ``places`` cover."""
+def _removed(starts: np.ndarray, window: int, n_words: int) -> np.ndarray:
+    """Which words the windows at ``starts`` cover."""
     mark = np.zeros(n_words + 1, np.int64)
-    if places:
-        starts = np.frombuffer(places, "<u4").astype(np.int64)
-        starts = starts[starts + window <= n_words]
-        np.add.at(mark, starts, 1)
-        np.add.at(mark, starts + window, -1)
+    starts = starts[starts + window <= n_words]
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, starts + window, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
@@ -221,30 +246,29 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     in a document with a smaller id; runs are judged on the input.  Words are
     runs of no ASCII white space, unchanged; kept words are joined by one space.
     A null or empty text has no words.  Rows that share a doc_id are judged
-    against smaller ids only, never against each other, and lose the runs that
-    any of them loses at the same position.  A row with a null doc_id keeps
+    against smaller ids only, never against each other, each by its own text.  A row with a null doc_id keeps
     everything.  Other columns are ignored.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even and at least 2")
     ranges = width(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
+    source = sources(docs, doc_id, text)
     known = source.where("id is not null")
     found = materialize(known.join(block_hits(known, window), "id"), "found")
     again = _gathered(_window_places(found, window, ranges), ranges).mapInArrow(lambda b: _repeats(b, ranges), Places.SCHEMA)
     repeats = _by_document(again, ranges)
-    marked = source.join(repeats, "id", "left").select("id", "body", "places")
+    marked = source.join(repeats, "id", "left").select("id", "body", "places", "base")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in texts(whole, 1):
                 raw = data.tobytes()
                 total, removed, shas, kept = [], [], [], []
-                for a, b, places in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2).to_pylist()):
+                for a, b, places, base in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     found_words = raw[a:b].split()
                     total.append(len(found_words))
                     if places:
-                        gone = _removed(places, window, len(found_words))
+                        gone = _removed(own_places(places, base)[0], window, len(found_words))
                         removed.append(int(gone.sum()))
                         found_words = [w for w, g in zip(found_words, gone.tolist()) if not g]
                     else:

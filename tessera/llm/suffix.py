@@ -27,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.anchors import Places, _by_document, _gathered, _planes, _range, _to_documents, _unpacked
+from tessera.llm.anchors import LOW, Places, _by_document, _gathered, _planes, _range, _to_documents, _unpacked, own_places, sources
 from tessera.llm.hashing import _BYTE_POWERS, _BYTES, U, mix, texts
 from tessera.llm.scratch import materialize, width
 
 LENGTH = 100
 GRAM = 32
 PART_BYTES = 1 << 20
+#: Bytes of a text that are looked at together.
+PIECE = 2 << 20
 
 
 def grams(data: np.ndarray, size: int) -> np.ndarray:
@@ -66,8 +67,26 @@ def _lows(h: np.ndarray, at: np.ndarray, length: int, span: int) -> np.ndarray:
     return low
 
 
-def minimisers(data: np.ndarray, at: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are smallest in some window, and the grams' hashes."""
+def minimisers(data: np.ndarray, at: np.ndarray, length: int, size: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are smallest in some window, and the grams' hashes; long texts are looked at in pieces that share no window."""
+    if len(data) <= 2 * piece:
+        return _minimisers(data, at, length, size)
+    where, tags = [], []
+    for a, b in _pieces(at, length, piece):
+        found = _minimisers(data[a:b], np.maximum(np.minimum(at, b) - a, 0), length, size)
+        where.append(found[0] + a)
+        tags.append(found[1])
+    where, first = np.unique(np.concatenate(where), return_index=True)
+    return where, np.concatenate(tags)[first]
+
+
+def _pieces(at: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Parts of the texts laid end to end, each with ``length - 1`` bytes of the next one."""
+    for a in range(0, int(at[-1]), piece):
+        yield a, min(a + piece + length - 1, int(at[-1]))
+
+
+def _minimisers(data: np.ndarray, at: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     span = length - size + 1
     h = grams(data, size)
     if len(h) < span:
@@ -104,11 +123,11 @@ def repeated_places(docs: DataFrame, length: int, size: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in texts(whole, 1):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                ids, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
                 where, tags = minimisers(data, at, length, size)
                 doc = np.searchsorted(at, where, "right") - 1
                 # Minimisers are small hashes, so they are mixed again before they are dealt out.
-                yield Places.pack(_range(mix(tags, 43), ranges), tags, doc, ids, where - at[doc])
+                yield Places.pack(_range(mix(tags, 43), ranges), tags, doc, ids, where - at[doc] + base[doc])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tags, doc, position in _unpacked(batches, np.uint64):
@@ -116,7 +135,7 @@ def repeated_places(docs: DataFrame, length: int, size: int) -> DataFrame:
             again = times[slot] > 1
             yield _to_documents(doc[again], position[again], ranges)
 
-    spread = _gathered(docs.select("id", "body").mapInArrow(post, Places.SCHEMA), ranges)
+    spread = _gathered(docs.select("id", "body", "base").mapInArrow(post, Places.SCHEMA), ranges)
     return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
 
 
@@ -127,30 +146,39 @@ def _snippets(found: DataFrame, length: int, size: int, ranges: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in texts(whole, 1):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                ids, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
                 begin, stop, lead, doc = [], [], [], []
                 for k, (places, a, b) in enumerate(zip(batch.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist())):
-                    if b - a < length:
-                        continue
-                    leaders, h = _leaders(data[a:b], length, size)
-                    marked = np.zeros(b - a, bool)
-                    marked[np.frombuffer(places, "<u4")] = True
-                    head = np.flatnonzero(np.concatenate([[True], leaders[1:] != leaders[:-1]]))
-                    tail = np.append(head[1:], len(leaders))
-                    keep = marked[leaders[head]]
-                    head, tail = head[keep], tail[keep]
-                    begin.append(head + a)
-                    stop.append(tail - 1 + length + a)
-                    lead.append(h[leaders[head]])
-                    doc.append(np.full(len(head), k))
+                    hits = own_places(places, int(base[k]))[0]
+                    for x, y in _pieces(np.array([0, b - a]), length):
+                        if y - x < length:
+                            continue
+                        leaders, h = _leaders(data[a + x : a + y], length, size)
+                        marked = np.zeros(y - x, bool)
+                        marked[hits[(hits >= x) & (hits < y)] - x] = True
+                        head = np.flatnonzero(np.concatenate([[True], leaders[1:] != leaders[:-1]]))
+                        tail = np.append(head[1:], len(leaders))
+                        keep = marked[leaders[head]]
+                        head, tail = head[keep], tail[keep]
+                        begin.append(head + a + x)
+                        stop.append(tail - 1 + length + a + x)
+                        lead.append(h[leaders[head]])
+                        doc.append(np.full(len(head), k))
                 if not begin:
                     continue
                 begin, stop, lead, doc = (np.concatenate(x) for x in (begin, stop, lead, doc))
-                up, down = _BYTE_POWERS(len(data) + 1)
-                total = np.concatenate([[U(0)], np.cumsum(_BYTES[data] * up[:-1])])
-                keys = mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U), 33)
+                keys = np.zeros(len(begin), U)
+                cuts = np.flatnonzero(np.diff(begin // PIECE)) + 1
+                for part in np.split(np.arange(len(begin)), cuts):
+                    x, y = begin[part], stop[part]
+                    seen = _BYTES[data[x[0] : y[-1]]] if len(part) else _BYTES[:0]
+                    up, down = _BYTE_POWERS(len(seen) + 1)
+                    total = np.concatenate([[U(0)], np.cumsum(seen * up[: len(seen)])])
+                    keys[part] = mix((total[y - x[:1]] - total[x - x[:1]]) * down[x - x[:1]] + (y - x).astype(U), 33)
                 bucket = _range(mix(lead, 43), ranges)
-                packed = Places.pack(bucket, keys, doc, ids, begin - at[doc])
+                _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+                _confirm(data, begin, stop - begin, first[same])
+                packed = Places.pack(bucket, keys, doc, ids, begin - at[doc] + base[doc])
                 raw = data.tobytes()
                 extra: list[list] = [[], [], [], []]
                 for one in packed.column(0).to_pylist():
@@ -162,7 +190,21 @@ def _snippets(found: DataFrame, length: int, size: int, ranges: int) -> DataFram
                     extra[3].append(lead[first].tobytes())
                 yield pa.RecordBatch.from_arrays([*packed.columns, *[pa.array(x, pa.binary()) for x in extra]], names=[*Places.NAMES, "texts", "sizes", "keys", "leads"])
 
-    return found.select("id", "body", "places").mapInArrow(run, SNIPPETS)
+    return found.select("id", "body", "places", "base").mapInArrow(run, SNIPPETS)
+
+
+def _confirm(data: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, step: int = PIECE) -> None:
+    """Stop if a snippet is not, byte by byte, the one that has its key already."""
+    again = np.flatnonzero(first != np.arange(len(first)))
+    other = first[again]
+    if (size[again] != size[other]).any():
+        raise RuntimeError("two different strings have one key")
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[again]) // step)) + 1
+    for x, y in zip(np.split(again, cuts), np.split(other, cuts)):
+        n = size[x]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(begin[x], n) + inside] != data[np.repeat(begin[y], n) + inside]).any():
+            raise RuntimeError("two different strings have one key")
 
 
 def _eights(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -278,13 +320,17 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, ranges: int) -> Itera
         leads = np.concatenate([np.frombuffer(r["leads"], np.uint64) for r in rows])
         raw = np.frombuffer(b"".join(r["texts"] for r in rows), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        keys, first = np.unique(keys, return_index=True)
+        keys, first, same = np.unique(keys, return_index=True, return_inverse=True)
+        _confirm(raw, begin, sizes, first[same])
         sizes, leads, begin = sizes[first], leads[first], begin[first]
         where, doc, position = (np.concatenate(x) for x in zip(*[Places.unpack(r, np.uint64) for r in rows]))
         del rows
         slot = np.searchsorted(keys, where)
-        _, doc_rank = np.unique(doc, return_inverse=True)
-        place = doc_rank << 32 | position
+        order = np.lexsort((position, doc))
+        new = np.diff(doc[order], prepend=doc[order[:1]]) | np.diff(position[order] >> 32, prepend=position[order[:1]] >> 32)
+        rank = np.zeros(len(doc), np.int64)
+        rank[order] = np.cumsum(new != 0)
+        place = rank << 32 | position & LOW
         earliest = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(earliest, slot, place)
         later = place > earliest[slot]
@@ -315,29 +361,30 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     (in a document with a smaller id, or before it in the same document);
     matches may overlap, never cross documents, and are judged on the input.
     A null text is empty; texts shorter than ``length`` are left whole.  Rows
-    that share a doc_id are taken for one place: equal rows keep what one row
-    would keep.  A row with a null doc_id keeps everything.  Other columns are
+    that share a doc_id are one document: equal rows are one place and keep what
+    one row would keep, different texts follow each other in the order of their
+    hashes.  A row with a null doc_id keeps everything.  Other columns are
     ignored.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be 1 to length")
     ranges = width(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
+    source = sources(docs, doc_id, text)
     known = source.where("id is not null")
     found = materialize(known.join(repeated_places(known, length, gram), "id"), "found")
     runs = _gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(lambda b: _marks(b, length, ranges), Places.SCHEMA)
     marks = _by_document(runs, ranges, counted=True)
-    marked = source.join(marks, "id", "left").select("id", "body", "places")
+    marked = source.join(marks, "id", "left").select("id", "body", "places", "base")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, at in texts(whole, 1):
                 out: list[list] = [[], [], [], [], []]
-                for a, b, pairs in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2).to_pylist()):
+                for a, b, pairs, base in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     row = data[a:b]
-                    gone = np.zeros(b - a + 1, np.int64)
+                    gone = np.zeros(b - a + 1, np.int32)
                     if pairs:
-                        start, count = np.frombuffer(pairs, "<u4").astype(np.int64).reshape(-1, 2).T
+                        start, count = own_places(pairs, base, counted=True)
                         fits = start + count - 1 + length <= b - a
                         np.add.at(gone, start[fits], 1)
                         np.add.at(gone, (start + count - 1 + length)[fits], -1)

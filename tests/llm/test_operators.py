@@ -182,6 +182,34 @@ def test_repeats_of_odd_tables(docs, none):
         assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_repeats_of_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(80), text(80), text(70)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, "x " + b), (4, c), (4, c + " tail"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda t: len(t.split()) if t else 0
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in anchors.drop_repeats(df).collect())
+    assert got == sorted([(1, 80, 0), (2, 80, 80), (2, 80, 0), (2, 80, 0), (3, 81, 80), (4, 70, 0), (4, 71, 0), (4, 0, 0)])
+    got = {}
+    for r in suffix.drop_repeats(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"]))
+    assert got[1] == [(len(a), 0)] and sorted(got[2]) == sorted([(len(a), len(a)), (len(b), 0), (len(b), 0)])
+    assert got[3] == [(len(b) + 2, len(b))] and (0, 0) in got[4]
+    # Of two texts of one id, the one with the smaller hash comes first.
+    removed = sorted(x for x in got[4] if x[0])
+    assert removed in ([(len(c), 0), (len(c) + 5, len(c))], [(len(c), len(c)), (len(c) + 5, 0)])
+    assert count(a) == 80
+
+
+def test_long_texts_in_pieces():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    at = np.array([0, 1200, 1200, 1250, 5000])
+    for x, y in zip(suffix.minimisers(data, at, 60, 20), suffix.minimisers(data, at, 60, 20, piece=700)):
+        assert x.tolist() == y.tolist()
+
+
 def test_statistics(docs, rows):
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rules.statistics(docs).collect()}
     for i, text, *_ in rows:
