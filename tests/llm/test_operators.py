@@ -256,6 +256,66 @@ def test_short_lines_have_templates(spark):
         assert got[i]["text"] == f"{own[i]}\n\n \t{seldom}" and got[i]["n_dropped"] == (2 if seldom else 3)
 
 
+def test_templates_generalise_fields(spark):
+    """Both names vary, one of them among the leading tokens; lines that only share stretches with them stay."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    own = [" ".join(name() for _ in range(9)) for _ in range(20)]
+    data = [(i, f"{own[i]}\nuser {name()} logged in from host {name()}", f"clash {i}") for i in range(20)]
+    data += [(30 + i, f"user {name()} logged {name()} from {name()} {name()}", None) for i in range(20)]
+    data += [(60 + i, "12 34\n5 6 7", None) for i in range(12)] + [(3, data[3][1], "again"), (None, "user of no id", None), (3, "another text of one id", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, doc string")
+    got = templates.drop_templates(df).collect()
+    dropped = sorted((r["doc_id"], r["n_dropped"]) for r in got if r["doc_id"] is not None and r["n_dropped"])
+    assert dropped == sorted([(i, 1) for i in range(1, 20)] + [(3, 1)])
+    assert all(r["text"] == own[r["doc_id"]] for r in got if r["doc_id"] is not None and r["n_dropped"])
+    assert len(got) == len(data) and {"n_lines", "n_dropped", "n_words_left", "doc"} <= set(templates.drop_templates(df).columns)
+
+
+def test_templates_against_plain_code(spark):
+    """The tree by plain dictionaries, on lines of few words so that nodes, leaves and templates recur."""
+    rng = random.Random(12)
+    common, rare = ["the", "on", "at", "is"], ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    shapes = [[None if rng.random() < 0.2 else rng.choice(common + rare[:20]) for _ in range(rng.randint(5, 9))] for _ in range(12)]
+
+    def line():
+        out = [w if w and rng.random() < 0.97 else rng.choice(rare) for w in rng.choice(shapes)]
+        return " ".join(out) if rng.random() < 0.9 else "  " + "\t".join(out) + f" {rng.randint(1, 99)}x"
+
+    data = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(260)]
+    cells = [(i, k, [templates.FIELD if re.search("[0-9]", t) else t for t in WORD.findall(x)]) for i, text in data for k, x in enumerate(text.split("\n"))]
+    cells = [(i, k, tuple(t)) for i, k, t in cells if t]
+    where = {}
+    for i, _, t in cells:
+        where.setdefault(t, set()).add(i)
+    whole = {t: min(x) for t, x in where.items() if len(x) >= 10 and set(t) != {templates.FIELD}}
+    gone = {(i, k) for i, k, t in cells if whole.get(t, i) != i}
+    tree = [[i, k, t, (len(t),)] for i, k, t in cells if t not in whole and len(t) >= 7]
+    for level in range(2):
+        node, child = Counter(x[3] for x in tree), Counter((x[3], x[2][level]) for x in tree)
+        for x in tree:
+            c = child[x[3], x[2][level]]
+            x.append(x[2][level] if c >= 10 and c * 100 >= node[x[3]] else templates.FIELD)
+        for x in tree:
+            x[3] += (x.pop(),)
+    size = Counter(x[3] for x in tree)
+    tree = [x for x in tree if size[x[3]] >= 10 and x[3].count(templates.FIELD) < 2]
+    at = Counter((x[3], k, w) for x in tree for k, w in enumerate(x[2][2:]))
+    made = []
+    for i, k, t, leaf in tree:
+        out = leaf[1:] + tuple(w if at[leaf, j, w] >= 10 and at[leaf, j, w] * 100 >= size[leaf] else templates.FIELD for j, w in enumerate(t[2:]))
+        if out.count(templates.FIELD) * 10 <= 3 * len(t):
+            made.append((i, k, out))
+    where = {}
+    for i, _, out in made:
+        where.setdefault(out, set()).add(i)
+    more = {(i, k) for i, k, out in made if len(where[out]) >= 10 and min(where[out]) != i}
+    assert gone and more - gone
+    want = {i: "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone | more) for i, text in data}
+    got = {r["doc_id"]: r["text"] for r in templates.drop_templates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_shards(docs, rows, none):
     for limit in (300, 5000, 1 << 30):
         got = shards.assign(docs, limit=limit).collect()
