@@ -58,7 +58,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     by one, so repeats and ties do not matter; other columns are dropped.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_remove(F.split(F.translate(body, BLANKS, " " * len(BLANKS)), " "), "")
+    words = F.regexp_extract_all(body, F.lit(f"[^{BLANKS}]+"), F.lit(0))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     one = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), words.alias("words"), lines.alias("lines"))
 

@@ -361,8 +361,31 @@ def test_mixing_meets_targets_above_supply(spark):
     assert got.where("sampled <> (copies > 0) or probability > 1").count() == 0
 
 
-def test_mixing_agrees_with_sql_but_for_copies(spark):
-    same(queries.QUERIES["op1_mixing"](spark, SF).drop("copies"), connect(SF), queries.ORACLES["op1_mixing"])
+def test_mixing_reaches_every_marginal(spark):
+    """In expectation to a millionth, drawn to a hundredth, at both small scales."""
+    for sf, near in ((SF, 0.05), ("/root/testdata/sf0.01", 0.02)):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        mixed = mixing.mix(docs.withColumn("topic", mixing.topic(F.col("text"))), mixing.TARGETS)
+        got = mixing.achieved(mixed, mixing.TARGETS).collect()
+        for name in mixing.TARGETS:
+            mine = [r for r in got if r["name"] == name]
+            there = sum(r["target"] for r in mine)
+            assert all(abs(r["expected"] - r["target"] / there) < 1e-6 for r in mine), mine
+            assert all(abs(r["drawn"] - r["target"] / there) < near for r in mine), mine
+
+
+def test_mixing_of_odd_rows(spark, docs, rows):
+    """Nulls, ties, repeats and clashing names; targets that no sample can meet end all the same."""
+    clash = docs.withColumn("expected", F.lit("x")).withColumn("copies", F.lit(None).cast("string"))
+    twice = clash.union(clash.where("doc_id = 33"))
+    got = mixing.mix(twice, {"lang": {"en": 0.5, "*": 0.5}, "source": {"s": 0.9, "t": 0.1}}).collect()
+    assert len(got) == len(rows) + 1 and len({tuple(r) for r in got if r["doc_id"] == 33}) == 1
+    for r in got:
+        assert r["n_tokens"] == len(words(r["text"])) and r["sampled"] == (r["copies"] > 0)
+        assert r["n_tokens"] or (r["probability"], r["copies"]) == (1.0, 1)
+    data = [(1, "w", "a", "x"), (2, "w", "b", "y"), (None, "w w", "b", "y")]
+    split = spark.createDataFrame(data, "doc_id long, text string, p string, q string")
+    assert mixing.mix(split, {"p": {"a": 0.9, "b": 0.1}, "q": {"x": 0.1, "y": 0.9}}).count() == 3
 
 
 def test_mixture_stage_repeats_scarce_documents(spark):
