@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring line templates go; so do documents of which nothing else is left."""
     out = templates.drop_templates(docs.select(*COLUMNS))
-    out = out.where(~((F.col("n_dropped") > 0) & (F.col("n_words_left") == 0)))
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
