@@ -1,15 +1,19 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors become whole numbers.  Candidates are cut by id range into packs, and a
-pack into blocks with the largest and smallest value of every term.  For each
-query a block's score is at most the sum over terms of the larger product with
-those two; blocks are scored from the highest bound down until the bound falls
-below the query's k-th score.  Queries are packed too and meet every pack of
-candidates as whole blocks, so nothing is broadcast and no row pairs are made.
+Vectors become whole numbers and are put in the order of a code of sign bits, so
+that alike ones are neighbours.  That order is cut into packs, and a pack into
+blocks with the largest and smallest value of every term.  For each query a
+block's score is at most the sum over terms of the larger product with those
+two; blocks are scored from the highest bound down until the bound falls below
+the query's k-th score.  A query starts with the k-th score of its own pack and
+carries the best it has found on from pack to pack.  Queries are packed too;
+packs of both kinds meet in the cells of a grid, so nothing is broadcast and no
+row pairs are made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,76 +21,190 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.hashing import U, mix
 from tessera.llm.scratch import materialize, width
 
 PACK = 1024
-BLOCK = 128
+BLOCK = 64
 SCALE = 256
+SIGNS = 16
+#: Queries of one cell at most: what a task holds of results.
+CELL_QUERIES = 1 << 16
+NONE = np.iinfo(np.int64).min
+LAST = np.iinfo(np.int64).max
 
 
 def quantized(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``id`` and ``vec``: floor(scale * x) of every component; rows with a null id or vector, or with null or non-finite components, are left out."""
+    """``id`` and ``vec``: floor(scale * x) of every component; rows with a null id or vector, or with null or non-finite components, are left out.
+
+    Components past the range of a long become its end.
+    """
     value = F.col(embedding).cast("array<double>")
-    sound = F.col(vec_id).isNotNull() & value.isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e15))
-    return df.where(F.coalesce(sound, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.transform(value, lambda x: F.floor(x * scale).cast("long")).alias("vec"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    sound = F.col(vec_id).isNotNull() & value.isNotNull() & F.forall(value, finite)
+    rows = df.where(F.coalesce(sound, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), value.alias("value"))
+    edge = float(1 << 62) * 2
+    whole = lambda x: F.when(F.floor(x * scale) >= edge, LAST).when(x * scale <= -edge, -LAST).otherwise(F.floor(F.when(F.abs(x * scale) < edge, x).otherwise(0.0) * scale))
+    return rows.select("id", F.transform("value", lambda x: whole(x).cast("long")).alias("vec"))
+
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Lists of whole numbers as rows (short ones are filled with zeros)."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
-def _packed(rows: DataFrame, pack: Column) -> DataFrame:
-    """One row for each pack: ids and the matrix of whole numbers (short vectors are filled with zeros)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids = table["id"].to_numpy()
-        lists = table["vec"].combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        matrix = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
-        inside = np.arange(matrix.shape[1])[None, :] < size[:, None]
-        matrix[inside] = lists.flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        row = [[table["pack"][0].as_py()], [ids[order].astype("<i8").tobytes()], [matrix[order].astype("<i8").tobytes()], [matrix.shape[1]]]
-        return pa.table([pa.array(row[0], pa.int64()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary()), pa.array(row[3], pa.int32())], names=["pack", "ids", "matrix", "terms"])
+def _coded(rows: DataFrame) -> DataFrame:
+    """``code``: on which side of fixed hyperplanes a vector lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _matrix(batch.column(2)).astype(np.float64)
+            sides = (mix(np.arange(matrix.shape[1] * SIGNS, dtype=U), 61) & U(1)).astype(np.float64).reshape(-1, SIGNS) * 2 - 1
+            code = ((matrix @ sides > 0) << np.arange(SIGNS)[::-1]).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int32))], names=["id", "asked", "vec", "code"])
 
-    return rows.withColumn("pack", pack.cast("long")).groupBy("pack").applyInArrow(run, "pack long, ids binary, matrix binary, terms int")
+    return rows.mapInArrow(run, "id long, asked boolean, vec array<long>, code int")
 
 
 def _merge(best: np.ndarray, ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (score down, id up) of what is held and new scores, row by row."""
     s = np.concatenate([best, scores], 1)
     i = np.concatenate([ids, np.broadcast_to(new_ids, scores.shape)], 1)
-    order = np.lexsort((i, -s))[:, :k]
+    order = np.lexsort((i, ~s))[:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-NONE = np.iinfo(np.int64).min // 4
-
-
-def search_pack(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's k best candidates of one pack (``NONE`` where there are fewer)."""
-    terms = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(m, ((0, 0), (0, terms - m.shape[1]))) for m in (q, c))
-    peak = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(terms, 1)
-    exact = np.float64 if peak < 2**52 else np.int64  # products and sums of doubles are exact below that
-    q, c = q.astype(exact), c.astype(exact)
-    begins = np.arange(0, len(c), block)
-    high, low = (np.stack([f(c[b : b + block], axis=0) for b in begins]) for f in (np.max, np.min))
-    bounds = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    best, ids = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
-    every = np.arange(len(q))
-    for turn in range(len(begins)):
-        block_of = order[:, turn]
-        going = bounds[every, block_of] >= best[:, -1]
-        if not going.any():
-            break
-        for b in np.unique(block_of[going]):
-            rows = np.flatnonzero(going & (block_of == b))
-            part = slice(begins[b], begins[b] + block)
-            scores = (q[rows] @ c[part].T).astype(np.int64)
-            scores[q_ids[rows][:, None] == c_ids[part][None, :]] = NONE
-            hit = (scores >= best[rows, -1:]).any(1)
-            rows, scores = rows[hit], scores[hit]
-            best[rows], ids[rows] = _merge(best[rows], ids[rows], scores, c_ids[part], k)
-    return best, ids
+class Best:
+    """The k best of some queries so far, a floor for the k-th score, and how many blocks were met and scored."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.floor = np.full(len(ids), NONE) if floor is None else floor
+        self.scores, self.found = np.full((len(ids), k), NONE), np.full((len(ids), k), LAST)
+        self.met, self.scored = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+    def search(self, c_ids: np.ndarray, c: np.ndarray, block: int = BLOCK) -> None:
+        """Meet one pack of candidates."""
+        terms = max(self.matrix.shape[1], c.shape[1])
+        q, c = (np.pad(m, ((0, 0), (0, terms - m.shape[1]))) for m in (self.matrix, c))
+        peak = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(terms, 1)
+        # Products and sums of doubles are exact up to 2**52, those of longs up to 2**62, Python's always.
+        exact = np.float64 if peak < 2**52 else np.int64 if peak < 2**62 else object
+        q, c = q.astype(exact), c.astype(exact)
+        whole = (lambda x: np.clip(x, -LAST, LAST).astype(np.int64)) if exact is object else (lambda x: x.astype(np.int64))
+        begins = np.arange(0, len(c), block)
+        high, low = (np.stack([f(c[b : b + block], axis=0) for b in begins]) for f in (np.max, np.min))
+        bounds = whole(np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T)
+        order = np.argsort(~bounds, axis=1, kind="stable")
+        every = np.arange(len(q))
+        self.met += len(begins)
+        for turn in range(len(begins)):
+            block_of = order[:, turn]
+            going = bounds[every, block_of] >= np.maximum(self.scores[:, -1], self.floor)
+            if not going.any():
+                break
+            self.scored += going
+            for b in np.unique(block_of[going]):
+                rows = np.flatnonzero(going & (block_of == b))
+                part = slice(begins[b], begins[b] + block)
+                scores = whole(q[rows] @ c[part].T)
+                scores[self.ids[rows][:, None] == c_ids[part][None, :]] = NONE
+                hit = (scores >= np.maximum(self.scores[rows, -1:], self.floor[rows, None])).any(1)
+                rows, scores = rows[hit], scores[hit]
+                self.scores[rows], self.found[rows] = _merge(self.scores[rows], self.found[rows], scores, c_ids[part], self.k)
+
+    def batch(self) -> pa.RecordBatch:
+        row, col = np.nonzero(self.scores > NONE)
+        counts = [np.where(col == 0, x[row], 0) for x in (self.met, self.scored)]
+        columns = [self.ids[row], self.found[row, col], self.scores[row, col], *counts]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score", "met", "scored"])
+
+
+PACKED = "ids binary, matrix binary, terms int, asked binary, floors binary"
+
+
+def _packed(rows: DataFrame, k: int, pack: int) -> DataFrame:
+    """Consecutive rows of a partition as packs: ids, matrix, which rows are queries, and their k-th score within the pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, pack):
+                part = batch.slice(a, pack)
+                ids, matrix = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(2))
+                asked = np.flatnonzero(part.column(1).to_numpy(zero_copy_only=False))
+                own = Best(ids[asked], matrix[asked], k)
+                own.search(ids, matrix)
+                row = [ids.astype("<i8").tobytes(), matrix.astype("<i8").tobytes(), matrix.shape[1], asked.astype("<i4").tobytes(), own.scores[:, -1].astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["ids", "matrix", "terms", "asked", "floors"])
+
+    return rows.select("id", "asked", "vec").mapInArrow(run, PACKED)
+
+
+def _asked(packs: DataFrame, pack: int) -> DataFrame:
+    """The queries of the packs, with their floors, in packs of their own; equal rows follow each other and are asked once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, int]] = []
+        last = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, terms = np.frombuffer(row["ids"], "<i8"), row["terms"]
+                for at, floor in zip(np.frombuffer(row["asked"], "<i4").tolist(), np.frombuffer(row["floors"], "<i8").tolist()):
+                    one = (int(ids[at]), row["matrix"][at * terms * 8 : (at + 1) * terms * 8].rstrip(b"\0"))
+                    if one != last:
+                        held.append((*one, floor))
+                    last = one
+                    if len(held) == pack:
+                        yield out(held)
+                        held = []
+        if held:
+            yield out(held)
+
+    def out(held: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        terms = max(-(-len(v) // 8) for _, v, _ in held)
+        row = [np.array([x for x, _, _ in held], "<i8").tobytes(), b"".join(v.ljust(terms * 8, b"\0") for _, v, _ in held), terms, len(held), np.array([f for _, _, f in held], "<i8").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["q_ids", "q", "q_terms", "n", "q_floors"])
+
+    return packs.mapInArrow(run, "q_ids binary, q binary, q_terms int, n int, q_floors binary")
+
+
+def _found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str, pack: int) -> DataFrame:
+    """Each task's best of every query it has met."""
+    slots = width(df.sparkSession)
+    rows = quantized(df, vec_id, embedding).withColumn("asked", F.coalesce(is_query, F.lit(False)))
+    rows = materialize(_coded(rows.select("id", "asked", "vec")), "vectors")
+    order = ["code", "id", "vec"]
+    packs = _packed(rows.repartitionByRange(slots, *order).sortWithinPartitions(*order), k, pack)
+    packs = materialize(packs.withColumn("pack", F.monotonically_increasing_id()), "packs")
+    asked = materialize(_asked(packs.sortWithinPartitions("pack"), pack).withColumn("q_pack", F.monotonically_increasing_id()), "queries")
+    n_queries = asked.agg(F.sum("n")).first()[0] or 0
+    n_packs = max(packs.count(), 1)
+    # Moving n_queries to every column of cells and all packs to every row costs least at this shape.
+    down = max(math.ceil(n_queries / CELL_QUERIES), round(math.sqrt(slots * n_queries / (n_packs * pack))), 1)
+    across = max(-(-slots // down), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    left = asked.withColumn("down", of("q_pack", down)).withColumn("across", every(across))
+    right = packs.select("ids", "matrix", "terms", of("pack", across).alias("across"), every(down).alias("down"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, Best] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                one = best.get(row["q_pack"])
+                if one is None:
+                    q_ids = np.frombuffer(row["q_ids"], "<i8")
+                    one = best[row["q_pack"]] = Best(q_ids, np.frombuffer(row["q"], "<i8").reshape(len(q_ids), row["q_terms"]), k, np.frombuffer(row["q_floors"], "<i8"))
+                c_ids = np.frombuffer(row["ids"], "<i8")
+                one.search(c_ids, np.frombuffer(row["matrix"], "<i8").reshape(len(c_ids), row["terms"]))
+        for one in best.values():
+            yield one.batch()
+
+    met = left.join(right, ["down", "across"]).select("q_pack", "q_ids", "q", "q_terms", "q_floors", "ids", "matrix", "terms")
+    return met.mapInArrow(run, "query_id long, vec_id long, score long, met long, scored long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pack: int = PACK) -> DataFrame:
@@ -96,36 +214,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
     candidate; rows that share the query's own id are not.  With fewer than k
     candidates all are returned; invalid vectors take no part, and vectors of
     other lengths count as filled with zeros.  Repeated rows are candidates
-    each; as queries, equal rows are asked once.  Other columns are ignored, and an empty table gives no rows.  Scores
-    must fit a long.
+    each; as queries, equal rows are asked once.  Other columns are ignored, and
+    an empty table gives no rows.  Scores past the range of a long become its end.
     """
-    spark = df.sparkSession
-    rows = materialize(quantized(df, vec_id, embedding), "vectors")
-    slots = width(spark)
-    place = F.row_number().over(Window.partitionBy(F.floor(F.col("id") / (pack * 64))).orderBy("id"))
-    # Packs follow id ranges; where ids repeat, a range is cut further by its rows.
-    ranged = rows.withColumn("n", place)
-    packs = _packed(ranged, F.floor(F.col("id") / (pack * 64)) * (1 << 20) + F.floor((F.col("n") - 1) / pack))
-    packs = materialize(packs.select(F.pmod(F.xxhash64("pack"), F.lit(slots)).alias("slot"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c"), F.col("terms").alias("c_terms")), "packs")
-    asked = rows.where(is_query).dropDuplicates(["id", "vec"]).withColumn("n", F.row_number().over(Window.partitionBy(F.floor(F.col("id") / (pack * 1024))).orderBy("id")))
-    asked = materialize(_packed(asked, F.floor(F.col("id") / (pack * 1024)) * (1 << 20) + F.floor((F.col("n") - 1) / pack)), "queries")
-    copies = asked.select("ids", "matrix", "terms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q, c_ids, c = (np.frombuffer(batch.column(n)[i].as_buffer(), "<i8") for n in ("ids", "matrix", "c_ids", "c"))
-                terms, c_terms = batch.column("terms")[i].as_py(), batch.column("c_terms")[i].as_py()
-                best, ids = search_pack(q_ids, q.reshape(len(q_ids), terms), c_ids, c.reshape(len(c_ids), c_terms), k)
-                row, col = np.nonzero(best > NONE)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[row, col]), pa.array(best[row, col])], names=["query_id", "vec_id", "score"])
-
-    met = copies.join(packs, "slot").select("ids", "matrix", "terms", "c_ids", "c", "c_terms")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = _found(df, is_query, k, vec_id, embedding, pack)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def scored_share(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pack: int = PACK) -> DataFrame:
+    """One row: the blocks that queries met, and the share of them that was scored."""
+    return _found(df, is_query, k, vec_id, embedding, pack).agg(F.sum("met").alias("met"), (F.sum("scored") / F.sum("met")).alias("share"))
+
+
 SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

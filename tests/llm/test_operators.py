@@ -420,6 +420,27 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 50"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_prunes_and_keeps_huge_values(spark):
+    """Vectors in tight groups: most blocks are never scored, and the result is that of plain code; ids may be sparse."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (30, 16))
+    data = [(i * 10**9, [float(x) for x in centres[i % 30] + rng.normal(0, 0.01, 16)]) for i in range(1500)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = F.col("id") % (50 * 10**9) == 0
+    whole = np.floor(256 * np.array([v for _, v in data])).astype(int)
+    scores = whole[::50] @ whole.T
+    want = []
+    for q in range(0, 1500, 50):
+        order = sorted((c for c in range(1500) if c != q), key=lambda c: (-scores[q // 50, c], c))[:5]
+        want += [(q * 10**9, r + 1, c * 10**9, int(scores[q // 50, c])) for r, c in enumerate(order)]
+    assert sorted(map(tuple, topk.top_k(df, asked, pack=256).collect())) == sorted(want)
+    share = topk.scored_share(df, asked, pack=256).first()
+    assert share["met"] > 0 and share["share"] < 0.5
+    huge = spark.createDataFrame([(50, [1e16, 1.0]), (51, [2e16, -1.0]), (52, [1e-3, 0.0]), (53, [1e300, 0.0]), (54, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in topk.top_k(huge, F.col("id") == 50).collect()}
+    assert got == {51: topk.LAST, 53: topk.LAST, 52: 0, 54: -topk.LAST}
+
+
 def test_language(spark, docs, none):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(*langid.training_rows(data, ~langid.held_out()))
