@@ -1,9 +1,11 @@
 """Quality rules: a learned decision list over text statistics, all in DataFrame expressions.
 
 Sequential covering: a rule is a conjunction of thresholds, grown by FOIL gain on
-two thirds of a labelled sample and pruned on the rest; rows that a rule covers
-leave before the next one is grown.  The list becomes one ordered conditional
-expression.
+two thirds of a labelled sample and pruned on the rest.  It joins the list if it
+is precise on all rows that are left, by share and by Laplace's estimate (which a
+handful of rows can't reach); those that it covers leave before the next one is
+grown.  Otherwise its first condition begins no rule until one has been found.
+The list becomes one ordered conditional expression.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ MAX_ROWS = 6000
 BINS = 12
 MAX_RULES = 6
 MAX_CONDITIONS = 3
-PRECISION = 0.95
+#: Least share of bad rows among those that a rule covers, as counted and by Laplace's estimate.
+PRECISION, LAPLACE = 0.95, 0.9
+MAX_FAILURES = 8
 MIN_COVER = 5
 ALIKE = 0.95
 
@@ -113,13 +117,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """Statistics of at most ``max_rows`` labelled documents in hash order, with ``bad`` and ``prune``.
 
     The bound is on the labelled rows that are learned from, whatever the size of
-    the tables; labels without a verdict are ignored.
+    the tables; labels without a verdict are ignored.  Rows that fail the base
+    checks need no rule and are left out.
     """
     bad = F.col("quality") == 0 if target is None else target
     known = labels.select(F.col(doc_id).alias("labelled"), bad.alias("bad")).where("bad is not null and labelled is not null")
     few = materialize(lowest(known.groupBy("labelled").agg(F.max("bad").alias("bad")), "labelled", max_rows), "labels")
     rows = docs.join(F.broadcast(few), F.col(doc_id) == F.col("labelled"), "left_semi")
-    stats = statistics(rows, doc_id, text).join(F.broadcast(few), F.col("doc_id") == F.col("labelled"))
+    stats = statistics(rows, doc_id, text).where(~F.col("base_failed")).join(F.broadcast(few), F.col("doc_id") == F.col("labelled"))
     return materialize(stats.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0).alias("prune"), *FEATURES), "sample")
 
 
@@ -139,7 +144,7 @@ def _both(conditions: Sequence[Condition]) -> Column:
     return out
 
 
-def _grow(rows: DataFrame, marks: dict[str, list[int]], max_conditions: int) -> Rule:
+def _grow(rows: DataFrame, marks: dict[str, list[int]], max_conditions: int, barred: set[Condition]) -> Rule:
     rule: list[Condition] = []
     for _ in range(max_conditions):
         counts = _counts(rows.where(_both(rule)), marks)
@@ -155,7 +160,7 @@ def _grow(rows: DataFrame, marks: dict[str, list[int]], max_conditions: int) ->
                 for at_least in (True, False):
                     inside = [v for (f, b), v in counts.items() if f == feature and (b > k) == at_least]
                     p, n = sum(v[0] for v in inside), sum(v[1] for v in inside)
-                    if p >= MIN_COVER:
+                    if p >= MIN_COVER and (rule or Condition(feature, at_least, value) not in barred):
                         gains[Condition(feature, at_least, value)] = (p * (math.log2(p / (p + n)) - base), p + n)
         best = max(gains, key=lambda c: (gains[c][0], str(c)), default=None)
         if best is None or gains[best][0] <= 1e-9:
@@ -166,34 +171,54 @@ def _grow(rows: DataFrame, marks: dict[str, list[int]], max_conditions: int) ->
     return tuple(rule)
 
 
-def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, float]:
-    """The leading part of the rule with the best worth on rows it was not grown on, and its precision there."""
-    parts = [rule[:k] for k in range(1, len(rule) + 1)]
-    sums = [x for k, part in enumerate(parts) for x in (F.sum((_both(part) & F.col("bad")).cast("int")).alias(f"p{k}"), F.sum((_both(part) & ~F.col("bad")).cast("int")).alias(f"n{k}"))]
-    got = rows.agg(*sums).first()
-    best: tuple[float, int, Rule, float] = (-2.0, 0, (), 0.0)
-    for k, part in enumerate(parts):
-        p, n = got[f"p{k}"] or 0, got[f"n{k}"] or 0
-        worth = (p - n) / (p + n) if p + n else -1.0
-        if (worth, p) > best[:2]:
-            best = (worth, p, part, p / (p + n) if p + n else 0.0)
-    return best[2], best[3]
+def _strictest(rule: Rule) -> Rule:
+    """Of conditions on one feature in one direction, only the one that implies the others."""
+    last = {(c.feature, c.at_least): c for c in sorted(rule, key=lambda c: c.value if c.at_least else -c.value)}
+    return tuple(c for c in dict.fromkeys(rule) if last[c.feature, c.at_least] == c)
 
 
-def learn(sample: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, precision: float = PRECISION) -> list[Rule]:
-    """An ordered list of rules for bad rows; empty if there is nothing to learn from."""
+def _covered(rows: DataFrame, parts: Sequence[Rule]) -> list[tuple[int, int]]:
+    """Bad and good rows that each conjunction covers."""
+    sums = [F.sum((_both(part) & side).cast("int")) for part in parts for side in (F.col("bad"), ~F.col("bad"))]
+    got = [x or 0 for x in rows.agg(*sums).first()]
+    return list(zip(got[::2], got[1::2]))
+
+
+def _prune(rows: DataFrame, rule: Rule) -> Rule:
+    """The leading part of the rule with the best worth on rows it was not grown on; the longer one, where they cover the same."""
+    parts = [_strictest(rule[:k]) for k in range(1, len(rule) + 1)]
+    worth = [((p - n) / (p + n) if p + n else -1.0, p, k) for k, (p, n) in enumerate(_covered(rows, parts))]
+    return parts[max(worth)[2]]
+
+
+def thresholds(sample: DataFrame) -> dict[str, list[int]]:
+    """Quantiles of all rows and of the bad ones: the values that conditions may have."""
     shares = [k / (BINS + 1) for k in range(1, BINS)] + [0.95, 0.98]
     cuts = sample.agg(*[F.percentile_approx(f, shares, 100_000).alias(f) for f in FEATURES]).first()
     bad = sample.where("bad").agg(*[F.percentile_approx(f, [0.05, 0.1, 0.25, 0.5, 0.75], 100_000).alias(f) for f in FEATURES]).first()
-    marks = {f: sorted(set([*(cuts[f] or []), *(bad[f] or []), *(v + 1 for v in cuts[f] or [])])) for f in FEATURES}
+    return {f: sorted(set([*(cuts[f] or []), *(bad[f] or []), *(v + 1 for v in cuts[f] or [])])) for f in FEATURES}
+
+
+def learn(sample: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, precision: float = PRECISION, laplace: float = LAPLACE) -> list[Rule]:
+    """An ordered list of rules for bad rows; empty if there is nothing to learn from."""
+    marks = thresholds(sample)
     grow, prune = sample.where(~F.col("prune")), sample.where("prune")
     rules: list[Rule] = []
-    for _ in range(max_rules):
+    barred: set[Condition] = set()
+    failures = 0
+    while len(rules) < max_rules and failures < MAX_FAILURES:
         left = ~fires(rules)
-        rule, sure = _prune(prune.where(left), got) if (got := _grow(grow.where(left), marks, max_conditions)) else ((), 0.0)
-        if not rule or sure < precision:
+        grown = _grow(grow.where(left), marks, max_conditions, barred)
+        if not grown:
             break
-        rules.append(rule)
+        rule = _prune(prune.where(left), grown)
+        p, n = _covered(sample.where(left), [rule])[0]
+        if p and p >= precision * (p + n) and p + 1 >= laplace * (p + n + 2):
+            rules.append(rule)
+            barred, failures = set(), 0
+        else:
+            barred.add(grown[0])
+            failures += 1
     return rules
 
 
