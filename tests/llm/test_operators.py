@@ -368,12 +368,12 @@ def test_templates_against_plain_code(spark):
         where.setdefault(t, set()).add(i)
     whole = {t: min(x) for t, x in where.items() if len(x) >= 10 and set(t) != {templates.FIELD}}
     gone = {(i, k) for i, k, t in cells if whole.get(t, i) != i}
-    tree = [[i, k, t, (len(t),)] for i, k, t in cells if t not in whole and len(t) >= 7]
+    tree = [[i, k, t, (len(t),)] for i, k, t in cells if len(t) >= 7]
     for level in range(2):
         node, child = Counter(x[3] for x in tree), Counter((x[3], x[2][level]) for x in tree)
         for x in tree:
             c = child[x[3], x[2][level]]
-            x.append(x[2][level] if c >= 10 and c * 100 >= node[x[3]] else templates.FIELD)
+            x.append(x[2][level] if x[2][level] != templates.FIELD and c >= 10 and c * 100 >= node[x[3]] else templates.FIELD)
         for x in tree:
             x[3] += (x.pop(),)
     size = Counter(x[3] for x in tree)
