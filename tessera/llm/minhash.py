@@ -181,8 +181,8 @@ def near_duplicates(
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     keys = ["print_a", "print_b", "n_shingles"]
     classes = live.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    # Written at once, so the numbers stay what they are.
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Numbers go up with the smallest id, so that a list's head is the likely original; written at once, they stay.
+    classes = materialize(classes.orderBy("rep", *keys).withColumn("node", F.monotonically_increasing_id()), "classes")
     members = materialize(live.select("doc_id", *keys).join(classes, keys).select("doc_id", "node"), "members")
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high").select("doc_id", "a")
     ties = materialize(members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
