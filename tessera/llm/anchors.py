@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import U, mix, row_of, texts, windows, words
+from tessera.llm.hashing import U, mix, row_of, texts, tidy, windows, words
 from tessera.llm.scratch import materialize, width
 
 WINDOW = 50
@@ -125,7 +125,7 @@ def _by_document(found: DataFrame, ranges: int, counted: bool = False) -> DataFr
             places = [packed[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(places, pa.binary())], names=["id", "places"])
 
-    return _gathered(found, ranges).mapInArrow(run, "id long, places binary")
+    return _gathered(found, ranges).mapInArrow(tidy(run), "id long, places binary")
 
 
 def own_places(places: bytes | None, base: int, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +184,8 @@ def block_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield _to_documents(doc[found], position[found], ranges)
 
     source = docs.select("id", "body", "base")
-    spread = _gathered(source.mapInArrow(probes, Places.SCHEMA), ranges)
-    return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
+    spread = _gathered(source.mapInArrow(tidy(probes), Places.SCHEMA), ranges)
+    return _by_document(spread.mapInArrow(tidy(meet), Places.SCHEMA), ranges)
 
 
 def _near(hits: np.ndarray, size: int, window: int, n_words: int) -> np.ndarray:
@@ -217,7 +217,7 @@ def _window_places(found: DataFrame, window: int, ranges: int) -> DataFrame:
                 start, doc = np.concatenate(starts), np.concatenate(doc)
                 yield Places.pack(_range(ranged[start], ranges), grams[start], doc, ids, start - rows[doc] + base[doc])
 
-    return found.select("id", "body", "places", "base").mapInArrow(run, Places.SCHEMA)
+    return found.select("id", "body", "places", "base").mapInArrow(tidy(run), Places.SCHEMA)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     source = sources(docs, doc_id, text)
     known = source.where("id is not null")
     found = materialize(known.join(block_hits(known, window), "id"), "found")
-    again = _gathered(_window_places(found, window, ranges), ranges).mapInArrow(lambda b: _repeats(b, ranges), Places.SCHEMA)
+    again = _gathered(_window_places(found, window, ranges), ranges).mapInArrow(tidy(lambda b: _repeats(b, ranges)), Places.SCHEMA)
     repeats = _by_document(again, ranges)
     marked = source.join(repeats, "id", "left").select("id", "body", "places", "base")
 
@@ -279,5 +279,5 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = marked.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = marked.mapInArrow(tidy(digest), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.drop("kept")

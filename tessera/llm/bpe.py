@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.hashing import tidy
+
 # The published byte-level pre-token pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -314,7 +316,6 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
             yield from encoded(batches, encoder, decoder)
         finally:
             encoder.forget()  # workers are used again, by other operators too
-            pa.default_memory_pool().release_unused()
 
     def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, decoder: Decoder) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -328,7 +329,7 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
                     columns.append(pa.array([decoder.decode(np.frombuffer(x, np.int32)) for x in got], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -347,7 +348,7 @@ def decode(df: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -
                 got = [decoder.decode(values[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, _extended(df, text, T.StringType()))
+    return df.mapInArrow(tidy(run), _extended(df, text, T.StringType()))
 
 
 def _small(batch: pa.RecordBatch, at: int, goal: int = 2 << 20) -> Iterator[pa.RecordBatch]:

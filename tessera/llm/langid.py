@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.hashing import texts
+from tessera.llm.hashing import texts, tidy
 from tessera.llm.scratch import lowest
 
 WINDOW = 128
@@ -212,7 +212,7 @@ def predict(df: DataFrame, net: Network | None, text: str = "text") -> DataFrame
                 pred = pa.array(langs[np.where(letters, best, len(net.langs))], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, pa.array(score)], names=schema.names)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import Places, _gathered, _range, _to_documents, _unpacked
 from tessera.llm.components import components
-from tessera.llm.hashing import U, lists, mix, texts, windows, words
+from tessera.llm.hashing import U, lists, mix, texts, tidy, windows, words
 from tessera.llm.scratch import materialize, width
 
 WORDS = 5
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
                 )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, sig array<long>")
+    return source.mapInArrow(tidy(run), "doc_id long, n_shingles long, print_a long, print_b long, sig array<long>")
 
 
 def mix_light(x: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print_a", "print_b", "grams"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, grams array<long>")
+    return source.mapInArrow(tidy(run), "doc_id long, n_shingles long, print_a long, print_b long, grams array<long>")
 
 
 def _rare_first(df: DataFrame, ranges: int) -> DataFrame:
@@ -150,8 +150,8 @@ def _rare_first(df: DataFrame, ranges: int) -> DataFrame:
             ids, first = np.unique(doc, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids), lists(tokens.view(np.int64), np.append(first, len(doc)), pa.int64())], names=["doc_id", "shared"])
 
-    packed = _gathered(df.mapInArrow(post, Places.SCHEMA), ranges).mapInArrow(meet, Places.SCHEMA)
-    return _gathered(packed, ranges).mapInArrow(collect, "doc_id long, shared array<long>")
+    packed = _gathered(df.mapInArrow(tidy(post), Places.SCHEMA), ranges).mapInArrow(tidy(meet), Places.SCHEMA)
+    return _gathered(packed, ranges).mapInArrow(tidy(collect), "doc_id long, shared array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.anchors import LOW, Places, _by_document, _gathered, _planes, _range, _to_documents, _unpacked, own_places, sources
-from tessera.llm.hashing import _BYTE_POWERS, _BYTES, U, mix, texts
+from tessera.llm.hashing import _BYTE_POWERS, _BYTES, U, mix, texts, tidy
 from tessera.llm.scratch import materialize, width
 
 LENGTH = 100
@@ -135,8 +135,8 @@ def repeated_places(docs: DataFrame, length: int, size: int) -> DataFrame:
             again = times[slot] > 1
             yield _to_documents(doc[again], position[again], ranges)
 
-    spread = _gathered(docs.select("id", "body", "base").mapInArrow(post, Places.SCHEMA), ranges)
-    return _by_document(spread.mapInArrow(meet, Places.SCHEMA), ranges)
+    spread = _gathered(docs.select("id", "body", "base").mapInArrow(tidy(post), Places.SCHEMA), ranges)
+    return _by_document(spread.mapInArrow(tidy(meet), Places.SCHEMA), ranges)
 
 
 SNIPPETS = Places.SCHEMA + ", texts binary, sizes binary, keys binary, leads binary"
@@ -190,7 +190,7 @@ def _snippets(found: DataFrame, length: int, size: int, ranges: int) -> DataFram
                     extra[3].append(lead[first].tobytes())
                 yield pa.RecordBatch.from_arrays([*packed.columns, *[pa.array(x, pa.binary()) for x in extra]], names=[*Places.NAMES, "texts", "sizes", "keys", "leads"])
 
-    return found.select("id", "body", "places", "base").mapInArrow(run, SNIPPETS)
+    return found.select("id", "body", "places", "base").mapInArrow(tidy(run), SNIPPETS)
 
 
 def _confirm(data: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, step: int = PIECE) -> None:
@@ -372,7 +372,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     source = sources(docs, doc_id, text)
     known = source.where("id is not null")
     found = materialize(known.join(repeated_places(known, length, gram), "id"), "found")
-    runs = _gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(lambda b: _marks(b, length, ranges), Places.SCHEMA)
+    runs = _gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(tidy(lambda b: _marks(b, length, ranges)), Places.SCHEMA)
     marks = _by_document(runs, ranges, counted=True)
     marked = source.join(marks, "id", "left").select("id", "body", "places", "base")
 
@@ -399,5 +399,5 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    result = marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    result = marked.mapInArrow(tidy(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result if keep_bytes else result.drop("kept")

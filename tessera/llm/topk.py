@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import U, mix
+from tessera.llm.hashing import U, mix, tidy
 from tessera.llm.scratch import materialize, width
 
 PACK = 1024
@@ -66,7 +66,7 @@ def _coded(rows: DataFrame) -> DataFrame:
             code = ((matrix @ sides > 0) << np.arange(SIGNS)[::-1]).sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int32))], names=["id", "asked", "vec", "code"])
 
-    return rows.mapInArrow(run, "id long, asked boolean, vec array<long>, code int")
+    return rows.mapInArrow(tidy(run), "id long, asked boolean, vec array<long>, code int")
 
 
 def _merge(best: np.ndarray, ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def _packed(rows: DataFrame, k: int, pack: int) -> DataFrame:
                 row = [ids.astype("<i8").tobytes(), matrix.astype("<i8").tobytes(), matrix.shape[1], asked.astype("<i4").tobytes(), own.scores[:, -1].astype("<i8").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["ids", "matrix", "terms", "asked", "floors"])
 
-    return rows.select("id", "asked", "vec").mapInArrow(run, PACKED)
+    return rows.select("id", "asked", "vec").mapInArrow(tidy(run), PACKED)
 
 
 def _asked(packs: DataFrame, pack: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _asked(packs: DataFrame, pack: int) -> DataFrame:
         row = [np.array([x for x, _, _ in held], "<i8").tobytes(), b"".join(v.ljust(terms * 8, b"\0") for _, v, _ in held), terms, len(held), np.array([f for _, _, f in held], "<i8").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["q_ids", "q", "q_terms", "n", "q_floors"])
 
-    return packs.mapInArrow(run, "q_ids binary, q binary, q_terms int, n int, q_floors binary")
+    return packs.mapInArrow(tidy(run), "q_ids binary, q binary, q_terms int, n int, q_floors binary")
 
 
 def _found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str, pack: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str,
             yield one.batch()
 
     met = left.join(right, ["down", "across"]).select("q_pack", "q_ids", "q", "q_terms", "q_floors", "ids", "matrix", "terms")
-    return met.mapInArrow(run, "query_id long, vec_id long, score long, met long, scored long")
+    return met.mapInArrow(tidy(run), "query_id long, vec_id long, score long, met long, scored long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pack: int = PACK) -> DataFrame:
