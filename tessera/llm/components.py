@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 80) -> DataFrame:
@@ -23,12 +23,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 80) -
     Self-links and nulls are ignored; no links give an empty table.
     """
     edges = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    labels = None
+    labels, spent = None, []
     for k in range(rounds):
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hooks = both.groupBy("src").agg(F.min(F.xxhash64("dst", F.lit(k))).alias("h"), F.min_by("dst", F.xxhash64("dst", F.lit(k))).alias("n"))
         to = F.when(F.col("h") < F.xxhash64("src", F.lit(k)), F.col("n")).otherwise(F.col("src"))
         hooks = materialize(hooks.select(F.col("src").alias("node"), to.alias("root")), "hooks")
+        spent.append(hooks)
         if labels is None:
             labels = hooks
         else:
@@ -37,10 +38,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 80) -
         left = edges.join(hooks.select(F.col("node").alias("src"), F.col("root").alias("x")), "src")
         left = left.join(hooks.select(F.col("node").alias("dst"), F.col("root").alias("y")), "dst").where("x <> y")
         edges = materialize(left.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct(), "links")
+        spent.append(edges)
         if edges.isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
     labels = materialize(labels, "labels")
+    release(*spent)
     low = materialize(labels.groupBy("root").agg(F.min("node").alias("component")), "lows")
     return labels.join(low, "root").select("node", "component")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.anchors import Places, _gathered, _range, _to_documents, _unpacked
 from tessera.llm.components import components
 from tessera.llm.hashing import U, lists, mix, texts, tidy, windows, words
-from tessera.llm.scratch import materialize, width
+from tessera.llm.scratch import materialize, release, width
 
 WORDS = 5
 PERCENT = 75
@@ -180,6 +180,7 @@ def near_duplicates(
     sigs = materialize(signatures(docs, doc_id, text, length, coordinates), "signatures")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     keys = ["print_a", "print_b", "n_shingles"]
+    names = materialize(sigs.select("doc_id", *keys), "names")
     classes = live.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     # Numbers go up with the smallest id, so that a list's head is the likely original; written at once, they stay.
     classes = materialize(classes.orderBy("rep", *keys).withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -188,16 +189,19 @@ def near_duplicates(
     ties = materialize(members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
     one = live.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "sig")
     shared = materialize(_rare_first(one.dropDuplicates(["doc_id"]), ranges).where(F.size("shared") >= matches), "shared")
+    release(sigs)
     # From here on, ``doc_id`` is the number of a class.
     postings = shared.select("doc_id", F.explode(F.slice("shared", 1, F.size("shared") - (matches - 1))).alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("head")).where("members > 1")
-    listed = materialize(postings.join(materialize(heads, "heads"), "token"), "postings")
+    heads = materialize(heads, "heads")
+    listed = materialize(postings.join(heads, "token"), "postings")
     star = listed.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     short = listed.where((F.col("members") <= PAIRWISE) & (F.col("doc_id") != F.col("head"))).select("token", "doc_id")
     pairs = short.select("token", F.col("doc_id").alias("a")).join(short.select("token", F.col("doc_id").alias("b")), "token").where("a < b").select("a", "b")
     tokens = lambda name, column: shared.select(F.col("doc_id").alias(name), F.col("shared").alias(column))
     likely = star.union(pairs).distinct().join(tokens("a", "sa"), "a").join(tokens("b", "sb"), "b")
     likely = materialize(likely.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b"), "candidates")
+    release(shared, heads)
     # Full sets are made once, for what may be compared now or below.
     some = likely.select(F.explode(F.array("a", "b")).alias("node")).union(listed.where(F.col("members") > PAIRWISE).select(F.col("doc_id").alias("node"))).distinct()
     wanted = materialize(classes.join(some, "node").withColumnRenamed("rep", "doc_id"), "wanted")
@@ -213,7 +217,8 @@ def near_duplicates(
     low = materialize(named.groupBy("component").agg(F.min("rep").alias("low")), "low")
     merged = classes.join(named.join(low, "component").select("node", "low"), "node", "left").select(*keys, F.coalesce("low", "rep").alias("component"))
     merged = materialize(merged, "merged")
-    out = sigs.drop("sig").join(merged, keys, "left")
+    release(members, ties, listed, likely, wanted, sets, links, more, classes, named, low)
+    out = names.join(merged, keys, "left")
     # A row without an id shares a class with others at most by chance of its text.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -241,4 +246,6 @@ def _across(listed: DataFrame, groups: DataFrame, sets: DataFrame, percent: int,
     most = F.least("lx", "ly")
     near = 100 * most >= percent * (F.col("nx") + F.col("ny") - most)
     met = odd.join(every, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & near)
-    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    release(members, rare)
+    return pairs
