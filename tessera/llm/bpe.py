@@ -12,6 +12,7 @@ the executors.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -279,6 +280,7 @@ def _tools(spec) -> tuple[Encoder, Decoder]:
         _worker.clear()
         vocab = Vocabulary(text)
         _worker[key] = (Encoder(vocab), Decoder(vocab))
+        gc.freeze()  # the tools stay
     return _worker[key]
 
 
@@ -312,9 +314,11 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(vocabulary)
+        gc.disable()  # nothing here is cyclic, and the caches are large to look through
         try:
             yield from encoded(batches, encoder, decoder)
         finally:
+            gc.enable()
             encoder.forget()  # workers are used again, by other operators too
 
     def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, decoder: Decoder) -> Iterator[pa.RecordBatch]:
