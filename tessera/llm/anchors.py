@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import U, mix, row_of, texts, tidy, windows, words
-from tessera.llm.scratch import materialize, width
+from tessera.llm.scratch import materialize, release, width
 
 WINDOW = 50
 LOW = (1 << 32) - 1
@@ -254,9 +254,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     ranges = width(docs.sparkSession)
     source = sources(docs, doc_id, text)
     known = source.where("id is not null")
-    found = materialize(known.join(block_hits(known, window), "id"), "found")
+    found = materialize(known.join(block_hits(known, window), "id"), "found", "zstd")
     again = _gathered(_window_places(found, window, ranges), ranges).mapInArrow(tidy(lambda b: _repeats(b, ranges)), Places.SCHEMA)
-    repeats = _by_document(again, ranges)
+    repeats = materialize(_by_document(again, ranges), "repeats")
+    release(found)
     marked = source.join(repeats, "id", "left").select("id", "body", "places", "base")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

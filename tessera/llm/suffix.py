@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.anchors import LOW, Places, _by_document, _gathered, _planes, _range, _to_documents, _unpacked, own_places, sources
 from tessera.llm.hashing import _BYTE_POWERS, _BYTES, U, mix, texts, tidy
-from tessera.llm.scratch import materialize, width
+from tessera.llm.scratch import materialize, release, width
 
 LENGTH = 100
 GRAM = 32
@@ -371,9 +371,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     ranges = width(docs.sparkSession)
     source = sources(docs, doc_id, text)
     known = source.where("id is not null")
-    found = materialize(known.join(repeated_places(known, length, gram), "id"), "found")
+    found = materialize(known.join(repeated_places(known, length, gram), "id"), "found", "zstd")
     runs = _gathered(_snippets(found, length, gram, ranges), ranges).mapInArrow(tidy(lambda b: _marks(b, length, ranges)), Places.SCHEMA)
-    marks = _by_document(runs, ranges, counted=True)
+    marks = materialize(_by_document(runs, ranges, counted=True), "marks")
+    release(found)
     marked = source.join(marks, "id", "left").select("id", "body", "places", "base")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
