@@ -78,7 +78,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Text to ids. One per Python worker; caches are bounded and forgotten after each task."""
+    """Text to ids. One per Python worker; caches are bounded."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -298,13 +298,15 @@ def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_caches: bool = False) -> DataFrame:
     """Add the exact token ids of the whole ``text`` as ``array<int>``.
 
     A null text has no tokens (an empty list), like an empty one.  Every row is
     encoded by itself, so ties, repeats and other columns do not matter; an
     existing column named like an added one is replaced.  With ``decoded``, the
     text that the ids stand for is added too, in the same pass over the rows.
+    ``keep_caches`` leaves a worker's bounded caches to its next task, for a job
+    that does nothing else; by default they go with the task.
     """
     df = df.drop(*{ids, decoded} - {None})
     at = df.columns.index(text)
@@ -319,7 +321,8 @@ def encode(df: DataFrame, vocabulary, text: str = "text", ids: str = "ids", deco
             yield from encoded(batches, encoder, decoder)
         finally:
             gc.enable()
-            encoder.forget()  # workers are used again, by other operators too
+            if not keep_caches:
+                encoder.forget()  # workers are used again, by other operators too
 
     def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, decoder: Decoder) -> Iterator[pa.RecordBatch]:
         for whole in batches:

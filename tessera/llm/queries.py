@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, vocabulary, decoded="decoded"))
+    return bpe.digests(bpe.encode(docs, vocabulary, decoded="decoded", keep_caches=True))
 
 
 @_query("op2_minhash")
