@@ -35,8 +35,8 @@ from tessera.llm.hashing import tidy
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of a worker's memory, whatever it reads: about 200 bytes an entry, 100 a pair, one a mark.
-CACHE_ENTRIES = 200_000
-PAIR_ENTRIES = 100_000
+CACHE_ENTRIES = 400_000
+PAIR_ENTRIES = 400_000
 MARKS = 1 << 20
 CACHE_CHARS = 48
 #: Characters that are encoded at a time.
