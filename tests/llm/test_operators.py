@@ -615,7 +615,8 @@ def test_pipeline(spark):
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF).cache()
-        assert 0 < out.count() <= docs.count()
+        # The mixture repeats documents of scarce cells; every other stage gives at most what it gets.
+        assert 0 < out.count() and (name == "mixture" or out.count() <= docs.count())
         if name != "tokens":
             assert out.columns == columns
         docs = out
