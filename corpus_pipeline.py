@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return
-the columns of ``documents``.
+the columns of ``documents``; other columns are left out.  An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay."""
+    """Documents in a known language stay; null texts and texts without a letter go, and all where no row has a language to learn from."""
     found = langid.identify(docs.select(*COLUMNS), ~langid.held_out())
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring line templates go; so do documents of which nothing else is left."""
+    """Recurring line templates go; so do documents of which nothing else is left. Null and empty texts stay as they are."""
     out = templates.drop_templates(docs.select(*COLUMNS))
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -54,7 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: The first stage trains a network, which SQL can't express; tests check the stages against brute force.
+#: The first stage trains a network, which SQL can't express.  The operators behind the stages have brute-force tests (tests/llm);
+#: the run as a whole is only compared with its stages one by one.
 ORACLE_SQL = None
 
 

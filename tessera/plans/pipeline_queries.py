@@ -21,7 +21,11 @@ from tessera.streaming import streams
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder: in the shared one that the session names, or a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("a cluster must name a folder that all machines share in spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
