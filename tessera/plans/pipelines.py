@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,22 @@ def finetune_rows(data: datasets.TypedDataset, tokenizer: tokens.Tokenizer = tok
     return out if limit is None or pack else R.take(out, limit)
 
 
+def keep_learned(df: DataFrame, labels: str = "labels", check: bool = True) -> DataFrame:
+    """Rows with any learned position.
+
+    A table is counted: a warning says how many rows are left out, and an error
+    is raised if none is left.  A stream, or ``check=False``, is only filtered.
+    """
+    learned = tokens.has_target(F.col(labels))
+    if check and not df.isStreaming:
+        n, left = df.agg(F.count("*"), F.count_if(learned)).first()
+        if not left:
+            raise ValueError(f"none of {n} rows teaches anything")
+        if left < n:
+            warnings.warn(f"{n - left} of {n} rows teach nothing and are left out", stacklevel=2)
+    return df.where(learned)
+
+
 def reward_training_rows(pairs: DataFrame, tokenizer: tokens.Tokenizer = tokens.codepoints, size: int = 512, pad_id: int = 0, max_tokens: int | None = None) -> DataFrame:
     """Chosen and rejected sides of each pair as blocks, next to each other (rows 2i and 2i + 1)."""
     sides = pairs.select(R.IDX, tokenizer(F.concat("prompt", "chosen")).alias("c"), tokenizer(F.concat("prompt", "rejected")).alias("r"))

@@ -123,11 +123,11 @@ def preview(spark: SparkSession, path: str, chars: int = 100) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> TypedDataset:
-    """All ``*.json`` envelopes of a folder (or one file), numbered by file and position.
+    """All envelopes of a folder (``*.json``, and the parts that ``save_envelope`` writes) or one file, numbered by file and position.
 
     Every file must have a type and instances, and all types must be the same.
     """
-    where = path if path.endswith(".json") else f"{path.rstrip('/')}/*.json"
+    where = path if path.endswith(".json") else f"{path.rstrip('/')}/{{*.json,part-*.txt}}"
     heads = spark.read.schema("type STRING, instances STRING").option("multiLine", True).json(where).select(F.input_file_name().alias("file"), "*")
     state = heads.agg(F.count_if(F.col("type").isNull()).alias("untyped"), F.count_if(F.col("instances").isNull()).alias("bare"), F.array_sort(F.collect_set("type")).alias("types")).first()
     if state["untyped"] or not state["types"]:

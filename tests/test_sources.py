@@ -82,3 +82,21 @@ def test_pipeline_names():
     assert pipelines.pipeline("evaluator") is pipelines.evaluate
     with pytest.raises(NotImplementedError):
         pipelines.pipeline("nothing")
+
+
+def test_saved_envelopes_load_again(spark, tmp_path):
+    rows = [{"text": f"text {i}"} for i in range(25)]
+    for one_file in (True, False):
+        path = f"file://{tmp_path}/saved-{one_file}"
+        datasets.from_rows(spark, "text_only", rows).save(path, one_file)
+        again = datasets.load(spark, path)
+        assert (again.kind, again.to_list()) == ("text_only", rows)
+
+
+def test_rows_that_teach_nothing(spark):
+    df = spark.createDataFrame([(1, [-100, 5]), (2, [-100]), (3, [])], "id long, labels array<int>")
+    with pytest.warns(UserWarning, match="2 of 3"):
+        assert [r["id"] for r in pipelines.keep_learned(df).collect()] == [1]
+    with pytest.raises(ValueError):
+        pipelines.keep_learned(df.where("id > 1"))
+    assert pipelines.keep_learned(df.where("id > 1"), check=False).count() == 0
