@@ -154,10 +154,15 @@ def _rare_first(df: DataFrame, ranges: int) -> DataFrame:
     return _gathered(packed, ranges).mapInArrow(tidy(collect), "doc_id long, shared array<long>")
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the documents: by sorting, at every size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those with enough similarity of their full sets."""
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
-    joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    joined = _joined(pairs, sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
+    joined = _joined(joined, sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     both, na, nb = F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb")
     near = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
     return materialize(joined.where(near).select("a", "b"), "confirmed")
@@ -184,10 +189,10 @@ def near_duplicates(
     classes = live.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     # Numbers go up with the smallest id, so that a list's head is the likely original; written at once, they stay.
     classes = materialize(classes.orderBy("rep", *keys).withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = materialize(live.select("doc_id", *keys).join(classes, keys).select("doc_id", "node"), "members")
+    members = materialize(_joined(live.select("doc_id", *keys), classes, keys).select("doc_id", "node"), "members")
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high").select("doc_id", "a")
     ties = materialize(members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
-    one = live.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "sig")
+    one = _joined(live, classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "sig")
     shared = materialize(_rare_first(one.dropDuplicates(["doc_id"]), ranges).where(F.size("shared") >= matches), "shared")
     release(sigs)
     # From here on, ``doc_id`` is the number of a class.
@@ -199,26 +204,26 @@ def near_duplicates(
     short = listed.where((F.col("members") <= PAIRWISE) & (F.col("doc_id") != F.col("head"))).select("token", "doc_id")
     pairs = short.select("token", F.col("doc_id").alias("a")).join(short.select("token", F.col("doc_id").alias("b")), "token").where("a < b").select("a", "b")
     tokens = lambda name, column: shared.select(F.col("doc_id").alias(name), F.col("shared").alias(column))
-    likely = star.union(pairs).distinct().join(tokens("a", "sa"), "a").join(tokens("b", "sb"), "b")
+    likely = _joined(_joined(star.union(pairs).distinct(), tokens("a", "sa"), "a"), tokens("b", "sb"), "b")
     likely = materialize(likely.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b"), "candidates")
     release(shared, heads)
     # Full sets are made once, for what may be compared now or below.
     some = likely.select(F.explode(F.array("a", "b")).alias("node")).union(listed.where(F.col("members") > PAIRWISE).select(F.col("doc_id").alias("node"))).distinct()
-    wanted = materialize(classes.join(some, "node").withColumnRenamed("rep", "doc_id"), "wanted")
-    texts_of = docs.join(wanted.select(F.col("doc_id").alias("id")).distinct(), docs[doc_id] == F.col("id"), "left_semi")
-    sets = shingle_sets(texts_of, doc_id, text, length).join(wanted, [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "grams")
+    wanted = materialize(_joined(classes, some, "node").withColumnRenamed("rep", "doc_id"), "wanted")
+    texts_of = _joined(docs, wanted.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    sets = _joined(shingle_sets(texts_of, doc_id, text, length), wanted, [*keys, "doc_id"]).select(F.col("node").alias("doc_id"), "grams")
     sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
     links = _similar(likely, sets, percent)
     groups = components(links.union(ties))
     more = _similar(_across(listed.where(F.col("members") > PAIRWISE), groups, sets, percent, ranges), sets, percent)
     if not more.isEmpty():
         groups = components(links.union(ties).union(more))
-    named = materialize(groups.join(classes.select("node", "rep"), "node"), "named")
+    named = materialize(_joined(groups, classes.select("node", "rep"), "node"), "named")
     low = materialize(named.groupBy("component").agg(F.min("rep").alias("low")), "low")
-    merged = classes.join(named.join(low, "component").select("node", "low"), "node", "left").select(*keys, F.coalesce("low", "rep").alias("component"))
+    merged = _joined(classes, _joined(named, low, "component").select("node", "low"), "node", "left").select(*keys, F.coalesce("low", "rep").alias("component"))
     merged = materialize(merged, "merged")
     release(members, ties, listed, likely, wanted, sets, links, more, classes, named, low)
-    out = names.join(merged, keys, "left")
+    out = _joined(names, merged, keys, "left")
     # A row without an id shares a class with others at most by chance of its text.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
