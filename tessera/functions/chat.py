@@ -223,6 +223,18 @@ def tokenized(template: Template, messages: Column, tokenizer: Tokenizer, bos: i
     return labelled(ids, F.flatten(F.transform(pairs, lambda p: F.concat(heard(p), p["assistant"]))))
 
 
+def paired_tokenized(template: Template, chosen: Column, rejected: Column, tokenizer: Tokenizer, bos: int, eos: int) -> Column:
+    """Ids and masks of both conversations of a pair, and whether the pair is corrupt (then its lists are empty)."""
+    whole = lambda m: F.coalesce((F.size(valid_messages(m)) >= 2) & F.forall(m, lambda x: x["content"].isNotNull()), F.lit(False))
+    good = whole(chosen) & whole(rejected)
+    none = F.array().cast("array<int>")
+    fields = []
+    for name, side in (("chosen", chosen), ("rejected", rejected)):
+        row = tokenized(template, side, tokenizer, bos, eos)
+        fields += [F.when(good, row[k]).otherwise(none).alias(f"{k}_{name}") for k in ("input_ids", "attention_mask")]
+    return F.struct(*fields, (~good).alias("is_corrupt"))
+
+
 def join_tools(tools: Column, template: Template | None = None) -> Column:
     """Tool descriptions after the system text: by commas, or each on a tagged line."""
     if template is not None and template.tool_lines:
@@ -244,10 +256,11 @@ def tool_turns(messages: Column) -> Column:
     return F.aggregate(messages, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
 
 
-def tool_tokenized(template: Template, messages: Column, tokenizer: Tokenizer, bos: int, eos: int, train_on_prompt: bool = False) -> Column:
+def tool_tokenized(template: Template, messages: Column, tokenizer: Tokenizer, bos: int, eos: int, train_on_prompt: bool = False, system: Column | None = None, tools: Column | None = None) -> Column:
     """Ids, mask and labels where functions and assistants are learned, users and observations are not.
 
-    Groups of other than two or four messages are skipped.
+    Groups of other than two or four messages are skipped.  System text and tools
+    stand before the first message, if its group is not skipped.
     """
     kit = id_kit(tokenizer, bos, eos)
     parts = {"user": template.user, "function": template.function or template.assistant, "observation": template.observation or template.user, "assistant": template.assistant}
@@ -263,6 +276,15 @@ def tool_tokenized(template: Template, messages: Column, tokenizer: Tokenizer, b
     ids = F.flatten(F.transform(pieces, lambda p: p["ids"]))
     labels = F.flatten(F.transform(pieces, lambda p: F.when(p["learned"] | F.lit(train_on_prompt), p["ids"]).otherwise(F.transform(p["ids"], lambda _: F.lit(IGNORED)))))
     starter = kit.part(template.starter, None) if template.starter is not None else kit.nothing()
+    if system is not None or tools is not None or template.force_system:
+        shown = F.coalesce(effective_system(template, system), F.lit(""))
+        shown = shown if tools is None else F.concat(shown, join_tools(tools, template))
+        if template.system is None:
+            head = F.when(shown != "", F.raise_error(F.lit("this template has no place for a system message"))).otherwise(kit.nothing())
+        else:
+            head = F.when((shown != "") | F.lit(template.force_system), kit.parts(template.system, shown)).otherwise(kit.nothing())
+        opens = F.size(F.get(tool_turns(messages), F.lit(0))).isin(2, 4)
+        starter = F.when(F.coalesce(opens, F.lit(False)), F.concat(starter, head)).otherwise(starter)
     has = F.size(ids) > 0
     ids = F.when(has, F.concat(starter, ids)).otherwise(ids)
     labels = F.when(has, F.concat(F.transform(starter, lambda x: x if train_on_prompt else F.lit(IGNORED)), labels)).otherwise(labels)

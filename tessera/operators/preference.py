@@ -127,3 +127,8 @@ def valid_candidates(df: DataFrame, width: int | None = None, prompt: str = "inp
     if width is not None:
         good = good & (F.size(candidates) == width)
     return df.where(F.coalesce(good, F.lit(False)))
+
+
+def mean_rewards(df: DataFrame, selected: Column, reward: str = "reward") -> DataFrame:
+    """One row: the mean reward of all rows and of the selected ones."""
+    return df.agg(F.avg(reward).alias("mean_reward"), F.avg(F.when(selected, F.col(reward))).alias("mean_selected"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import answers, chat, text, tokens
-from tessera.operators import evaluation, inference, packing, preference, retrieval
+from tessera.operators import collate, evaluation, inference, packing, preference, retrieval
 from tessera.operators import rows as R
 from tessera.sources import datasets
 
@@ -157,9 +157,26 @@ def retrieval_prompts(chunks: DataFrame, queries: DataFrame, k: int = 4) -> Data
     return near.groupBy("query_id").agg(text.squeeze_newlines(context).alias("context"))
 
 
+def paired_rows(data: datasets.TypedDataset, tokenizer: tokens.Tokenizer = tokens.codepoints, template: str = "chatml", bos: int = 1, eos: int = 2) -> DataFrame:
+    """Tokenized pairs of conversations; corrupt ones are marked and keep their place."""
+    row = chat.paired_tokenized(chat.preset(template), F.col("chosen.messages"), F.col("rejected.messages"), tokenizer, bos, eos)
+    return data.df.select(R.IDX, row.alias("r")).select(R.IDX, "r.*")
+
+
+def preference_training_batches(candidates: DataFrame, batch: int, method: str = "max_min", tokenizer: tokens.Tokenizer = tokens.codepoints, eos: int = 2, max_length: int = 512, max_prompt: int = 128, limit: int | None = None) -> DataFrame:
+    """Scored candidates to pairs, their sequences, and batches that are filled to one length."""
+    pairs = preference.to_pairs(candidates, method)
+    pairs = pairs if limit is None else R.take(pairs, limit)
+    row = tokens.preference_row(F.col("prompt"), F.col("chosen"), F.col("rejected"), tokenizer, eos, max_length, max_prompt)
+    rows = pairs.select(R.IDX, "margin", F.floor(F.col(R.IDX) / batch).alias("batch"), row.alias("r")).select(R.IDX, "batch", "margin", "r.*")
+    return collate.preference_batches(rows, "batch")
+
+
 def tool_rows(data: datasets.TypedDataset, template: str = "qwen2_for_tool", tokenizer: tokens.Tokenizer = tokens.codepoints, block: int = 512) -> DataFrame:
     """Blocks of conversations with tools; functions and assistants are learned."""
-    row = chat.tool_tokenized(chat.preset(template), chat.valid_messages(F.col("messages")), tokenizer, 1, 2)
+    shape, columns = chat.preset(template), data.df.columns
+    system, tools = (F.col(c) if c in columns and shape.system else None for c in ("system", "tools"))
+    row = chat.tool_tokenized(shape, chat.valid_messages(F.col("messages")), tokenizer, 1, 2, system=system, tools=tools)
     return data.df.select(R.IDX, row.alias("r")).select(R.IDX, tokens.block_row(F.col("r"), block).alias("r")).select(R.IDX, "r.*")
 
 
@@ -173,7 +190,7 @@ PIPELINES: dict[str, Callable] = {
     "evaluator": evaluate,
     "raft_aligner": raft_selection,
     "dpo_aligner": fits_characters,
-    "dpov2_aligner": preference.to_pairs,
+    "dpov2_aligner": preference_training_batches,
     "iterative_dpo_aligner": iterative_alignment,
 }
 

@@ -215,3 +215,30 @@ def load_images(spark: SparkSession, path: str, folder: str) -> DataFrame:
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def save_round(data: TypedDataset, path: str, iteration: int) -> None:
+    """The training rows of one iteration as envelopes."""
+    save_envelope(data, f"{path.rstrip('/')}/train_set_{iteration}")
+
+
+def append_rewards(means: DataFrame, path: str) -> None:
+    """A line of text for each round's mean rewards, added to what the folder has."""
+    line = F.format_string("mean reward: %s, mean reward in training set: %s", F.col("mean_reward").cast("string"), F.col("mean_selected").cast("string"))
+    means.select(line.alias("value")).write.mode("append").text(path)
+
+
+def save_metadata(df: DataFrame, path: str) -> None:
+    """Plain columns as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def describe(df: DataFrame) -> dict[str, str]:
+    """Columns and their types."""
+    return {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+
+def check_not_empty(df: DataFrame) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError("the dataset is empty")
+    return df
