@@ -189,10 +189,12 @@ def full_batches(df: DataFrame, size: int) -> DataFrame:
     return split_size(df.where(F.col(IDX) < whole), size)
 
 
-def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
-    """Columns ``epoch`` and ``batch``; the rows must fill whole batches."""
+def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, short: bool = False) -> DataFrame:
+    """Columns ``epoch`` and ``batch``; the rows must fill whole batches, but with ``short`` the last one of each epoch may be short."""
+    if size <= 0:
+        raise ValueError("size must be positive")
     n = df.count()
-    if n % size:
+    if n % size and not short:
         raise ValueError(f"{n} rows don't fill batches of {size}")
     every = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is None:

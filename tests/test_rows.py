@@ -72,6 +72,24 @@ def test_exact_samples(spark):
         R.mini_batches(df, 10)
 
 
+def test_short_mini_batches_hold_all_rows(spark):
+    df = spark.range(101).withColumnRenamed("id", "_idx")
+    for seed in (None, 1):
+        out = R.mini_batches(df, 10, 2, seed, short=True)
+        assert out.agg(F.count("*"), F.count_distinct("epoch", "_idx")).first() == (202, 202)
+        sizes = {(r["epoch"], r["batch"]): r["count"] for r in out.groupBy("epoch", "batch").count().collect()}
+        assert sizes == {(e, b): 1 if b == 10 else 10 for e in (0, 1) for b in range(11)}
+    assert R.mini_batches(df.limit(0), 10, short=True).count() == 0
+
+
+def test_mini_batches_query_of_any_number_of_documents(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.range(101).select(F.col("id").alias("doc_id")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["mini_batches"](spark, f"file://{tmp_path}").select("_idx", "epoch", "batch").collect())
+    assert got == [(i, e, i // 50) for i in range(101) for e in (0, 1)]
+
+
 def _brute(rows, asked, k=4):
     norm = lambda v: sum(x * x for x in v) ** 0.5
     for q, e in asked:
