@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.tokens import has_target
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder: in the shared one that the session names, or a temporary one in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("a cluster must name a folder that all machines share in spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, path: str, glob: str | None = None, files_a_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files under ``path``."""
-    schema = spark.read.parquet(f"{path}/{glob}" if glob else path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger)
-    return (source.option("pathGlobFilter", glob) if glob else source).parquet(path)
+    """A stream of the Parquet files under ``path``; with ``glob``, of the files and folders of files there that it names."""
+    where = f"{path}/{glob}" if glob else path
+    schema = spark.read.parquet(where).schema
+    if glob and not any(c in glob for c in "*?[]{}\\"):
+        where = f"{where[:-1]}[{where[-1]}]"  # as a pattern, a stream may be of one file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(where)
 
 
 def learned_rows(df: DataFrame, labels: str = "labels") -> DataFrame:
@@ -48,8 +63,22 @@ def session_memory(turns: DataFrame, session: str, text: str, max_chars: int = 2
     return grouped.applyInPandasWithState(update, "session long, memory string", "memory string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now, into a table in memory."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(df: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what there is now, into a table in the shared folder; with ``keys``, the last row of each of them.
+
+    Each batch is a part of the table; no rows go through the driver.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows/__batch=-1")
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/__batch={batch}")
+
+    query = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{path}/log").foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])).parquet(f"{path}/rows")
+    if not keys:
+        return rows.drop("__batch")
+    others = [c for c in df.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in df.columns])

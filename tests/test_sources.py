@@ -78,6 +78,24 @@ def test_streams_are_lazy(spark, tmp_path):
     assert sorted(r[0] for r in got.collect()) == [1, 3]
 
 
+def test_streams_of_one_file_and_of_folders(spark, tmp_path):
+    spark.range(6).repartition(2).write.parquet(f"file://{tmp_path}/t.parquet")
+    spark.range(6, 8).write.parquet(f"file://{tmp_path}/other.parquet")
+    (tmp_path / "one").mkdir()
+    part = next((tmp_path / "t.parquet").glob("part-*.parquet"))
+    (tmp_path / "one" / "t.parquet").write_bytes(part.read_bytes())
+    n = spark.read.parquet(f"file://{tmp_path}/one/t.parquet").count()
+    assert sorted(r[0] for r in streams.drain(streams.read(spark, f"file://{tmp_path}", "t.parquet"), "folder").collect()) == list(range(6))
+    assert streams.drain(streams.read(spark, f"file://{tmp_path}/one", "t.parquet"), "file").count() == n > 0
+    assert streams.drain(streams.read(spark, f"file://{tmp_path}", "*.parquet").where("id < 0"), "nothing").collect() == []
+
+
+def test_drained_rows_stay_off_the_driver(spark, tmp_path):
+    spark.range(6).write.parquet(f"file://{tmp_path}/t")
+    got = streams.drain(streams.read(spark, f"file://{tmp_path}/t"), "stored")
+    assert got.inputFiles() and got.count() == 6
+
+
 def test_pipeline_names():
     assert pipelines.pipeline("evaluator") is pipelines.evaluate
     with pytest.raises(NotImplementedError):
