@@ -47,20 +47,33 @@ def filter_then_take(df: DataFrame, condition, n: int) -> DataFrame:
 def session_memory(turns: DataFrame, session: str, text: str, max_chars: int = 2048) -> DataFrame:
     """After each batch, every touched session's last ``max_chars`` characters of all its turns.
 
-    ``turns`` has a ``seq`` column that orders a session's turns. State is one
-    bounded string for each session.
+    ``turns`` has a ``seq`` column of whole numbers that orders a session's
+    turns (nulls last), in whichever batch they arrive.  State is the last turns
+    of each session, ``max_chars`` characters in all, so a late turn takes its
+    place.  Null texts count for nothing; a session with no other has a null
+    memory.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for said in rows[text]:
-            memory = (memory + (said or ""))[-max_chars:]
-        state.update((memory,))
-        yield pd.DataFrame({"session": [key[0]], "memory": [memory]})
-
-    grouped = turns.select(F.col(session).alias("session"), "seq", text).groupBy("session")
-    return grouped.applyInPandasWithState(update, "session long, memory string", "memory string", "update", GroupStateTimeout.NoTimeout)
+        kept = list(zip(*state.get)) if state.exists else []
+        known = state.exists and state.get[0] is not None
+        for rows in batches:
+            said = zip(rows["seq"].tolist(), rows["said"].tolist())
+            new = [(None if seq != seq or seq is None else int(seq), words) for seq, words in said if isinstance(words, str)]
+            known = known or bool(new)
+            merged = sorted([*kept, *new], key=lambda turn: (turn[0] is None, turn[0] or 0))
+            kept, room = [], max_chars
+            for seq, words in reversed(merged):
+                if words and room > 0:
+                    kept.append((seq, words[-room:]))
+                    room -= len(words)
+            kept.reverse()
+        state.update(([s for s, _ in kept], [w for _, w in kept]) if known else (None, None))
+        yield pd.DataFrame({"session": [key[0]], "memory": ["".join(w for _, w in kept) if known else None]})
+
+    named = turns.select(F.col(session).cast("long").alias("session"), F.col("seq").cast("long").alias("seq"), F.col(text).alias("said"))
+    kept = "seqs array<long>, texts array<string>"
+    return named.groupBy("session").applyInPandasWithState(update, "session long, memory string", kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:

@@ -96,6 +96,20 @@ def test_drained_rows_stay_off_the_driver(spark, tmp_path):
     assert got.inputFiles() and got.count() == 6
 
 
+def test_session_memory_of_turns_in_any_batch(spark, tmp_path):
+    """Turns of a session arrive in three files, the last one first."""
+    rows = [(1, 0, "abc"), (1, 1, None), (1, 2, "de\U0001f600"), (1, 3, ""), (1, 4, "fghij"), (2, 0, "x"), (2, 1, "yz"), (3, 0, None), (None, 1, "no"), (None, None, "ne"), (4, 0, "")]
+    schema = "conv_id long, seq long, text string"
+    for k in range(3):
+        part = [r for i, r in enumerate(rows) if (len(rows) - i) % 3 == k]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/turns/k={k}")
+    turns = streams.read(spark, f"file://{tmp_path}/turns/k=*").drop("k")
+    for size in (3, 8, 100):
+        memory = streams.session_memory(turns, "conv_id", "text", size)
+        got = {r["session"]: r["memory"] for r in streams.drain(memory, f"memory-{size}", "update", ["session"]).collect()}
+        assert got == {1: "abcde\U0001f600fghij"[-size:], 2: "xyz", 3: None, None: "none"[-size:], 4: ""}
+
+
 def test_pipeline_names():
     assert pipelines.pipeline("evaluator") is pipelines.evaluate
     with pytest.raises(NotImplementedError):
