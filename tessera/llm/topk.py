@@ -177,7 +177,8 @@ def _found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str,
     rows = quantized(df, vec_id, embedding).withColumn("asked", F.coalesce(is_query, F.lit(False)))
     rows = materialize(_coded(rows.select("id", "asked", "vec")), "vectors")
     order = ["code", "id", "vec"]
-    packs = _packed(rows.repartitionByRange(slots, *order).sortWithinPartitions(*order), k, pack)
+    # Ranges of code and id only: Spark brings a sample of the range keys, hundreds a partition, to the driver.
+    packs = _packed(rows.repartitionByRange(slots, *order[:2]).sortWithinPartitions(*order), k, pack)
     packs = materialize(packs.withColumn("pack", F.monotonically_increasing_id()), "packs")
     asked = materialize(_asked(packs.sortWithinPartitions("pack"), pack).withColumn("q_pack", F.monotonically_increasing_id()), "queries")
     n_queries = asked.agg(F.sum("n")).first()[0] or 0
@@ -203,7 +204,8 @@ def _found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str,
         for one in best.values():
             yield one.batch()
 
-    met = left.join(right, ["down", "across"]).select("q_pack", "q_ids", "q", "q_terms", "q_floors", "ids", "matrix", "terms")
+    # A table that is small on disk is ``across`` times as large here, so it is never broadcast.
+    met = left.join(right.hint("merge"), ["down", "across"]).select("q_pack", "q_ids", "q", "q_terms", "q_floors", "ids", "matrix", "terms")
     return met.mapInArrow(tidy(run), "query_id long, vec_id long, score long, met long, scored long")
 
 

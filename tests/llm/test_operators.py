@@ -519,6 +519,14 @@ def test_top_k_prunes_and_keeps_huge_values(spark):
     assert got == {51: topk.LAST, 53: topk.LAST, 52: 0, 54: -topk.LAST}
 
 
+def test_top_k_broadcasts_nothing(spark):
+    """The exploded queries once went through the driver wherever they were small on disk."""
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*[F.rand(k) - 0.5 for k in range(4)]).alias("embedding"))
+    out = topk.top_k(df, F.col("id") % 50 == 0)
+    assert out.count() == 30
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language(spark, docs, none):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(*langid.training_rows(data, ~langid.held_out()))
