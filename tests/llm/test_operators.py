@@ -334,6 +334,22 @@ def test_short_lines_have_templates(spark):
         assert got[i]["text"] == f"{own[i]}\n\n \t{seldom}" and got[i]["n_dropped"] == (2 if seldom else 3)
 
 
+def test_lines_of_the_field_characters_have_templates(spark):
+    """Only whole ``<*>`` tokens are fields: rulers of stars or angle brackets recur as any other line."""
+    lines = ["***", "* * *", "<> <>", "<*> *"]
+    df = spark.createDataFrame([(i, "\n".join([*lines, f"own{'x' * i}", "<*>", "7 8"])) for i in range(12)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in templates.drop_templates(df).collect()}
+    assert got == {i: (0, df.where(f"doc_id = {i}").first()["text"]) if i == 0 else (len(lines), f"own{'x' * i}\n<*>\n7 8") for i in range(12)}
+
+
+def test_leaves_without_constants_below_the_branches(spark):
+    """Six branches and one field of seven tokens are within three tenths."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    df = spark.createDataFrame([(i, f"we met at the gate with {word(i)}") for i in range(12)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.drop_templates(df, depth=6).collect()}
+    assert got == {i: int(i > 0) for i in range(12)}
+
+
 def test_templates_generalise_fields(spark):
     """Both names vary, one of them among the leading tokens; lines that only share stretches with them stay."""
     rng = random.Random(2)
